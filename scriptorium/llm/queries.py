@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import byte_bpe
+from scriptorium.llm import byte_bpe, minhash, packing
 from scriptorium.sources.tables import table
 
 
@@ -16,8 +16,19 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, names))
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_packing": op3_packing,
+    "op4_minhash": op4_minhash,
 }
 ORACLES: dict[str, str] = {}
 

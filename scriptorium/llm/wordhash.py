@@ -86,7 +86,7 @@ class Words:
 
 def grams(names: np.ndarray, k: int) -> np.ndarray:
     """Name of the k words that start at each word (runs past the end wrap; callers mask)."""
-    out = np.full(len(names), _GOLD * U64(k), dtype=np.uint64)
+    out = np.full(len(names), U64(0x9E3779B97F4A7C15 * k % (1 << 64)), dtype=np.uint64)
     for j in range(k):
         out = mix(out * _GOLD + np.roll(names, -j))
     return out
