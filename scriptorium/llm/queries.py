@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.llm import byte_bpe, minhash, packing
+from scriptorium.llm import byte_bpe, langid, minhash, packing, recompress
 from scriptorium.sources.tables import table
 
 
@@ -25,10 +26,22 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = recompress.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), 50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_packing": op3_packing,
     "op4_minhash": op4_minhash,
+    "op7_langid": op7_langid,
+    "op10_recompression": op10_recompression,
 }
 ORACLES: dict[str, str] = {}
 
