@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import byte_bpe, langid, minhash, packing, recompress
+from scriptorium.llm import byte_bpe, langid, minhash, packing, recompress, secrets_scan, sharding, url_filter
 from scriptorium.sources.tables import table
 
 
@@ -26,11 +26,35 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+RULES = [
+    url_filter.Rule("org", "/", "allow"),
+    url_filter.Rule("example.org", "/es/", "block"),
+    url_filter.Rule("example.org", "/en/1", "block"),
+    url_filter.Rule("com", "/fr/", "allow"),
+    url_filter.Rule("com", "/de/", "block"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list is what the crawl has of hosts with a label that begins with ``spam-``."""
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.where(url_filter.host_of(F.col("url")).rlike(r"(^|\.)spam-")).select("url")
+    return url_filter.filter_urls(pages, listed, RULES)
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.digest(secrets_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = recompress.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), 50)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -40,7 +64,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_packing": op3_packing,
     "op4_minhash": op4_minhash,
+    "op6_sharding": op6_sharding,
     "op7_langid": op7_langid,
+    "op8_url_filter": op8_url_filter,
+    "op9_secrets": op9_secrets,
     "op10_recompression": op10_recompression,
 }
 ORACLES: dict[str, str] = {}
