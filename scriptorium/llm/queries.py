@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import byte_bpe, langid, minhash, packing, recompress, secrets_scan, sharding, url_filter
+from scriptorium.llm import byte_bpe, cover_tree, langid, minhash, packing, recompress, secrets_scan, sharding, url_filter
 from scriptorium.sources.tables import table
 
 
@@ -17,6 +17,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
     return packing.pack_documents(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, names))
@@ -45,9 +49,9 @@ RULES = [
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list is what the crawl has of hosts with a label that begins with ``spam-``."""
+    """The list is what the crawl has of hosts with a label that begins with ``spam-`` or ``casino-``."""
     pages = table(spark, sf_dir, "pages")
-    listed = pages.where(url_filter.host_of(F.col("url")).rlike(r"(^|\.)spam-")).select("url")
+    listed = pages.where(url_filter.host_of(F.col("url")).rlike(r"(^|\.)(spam|casino)-")).select("url")
     return url_filter.filter_urls(pages, listed, RULES)
 
 
@@ -62,6 +66,7 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_cover_tree": op2_cover_tree,
     "op3_packing": op3_packing,
     "op4_minhash": op4_minhash,
     "op6_sharding": op6_sharding,
