@@ -18,6 +18,7 @@ goes to the r-th place that the plan has for it.  Ranks come from counts by
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -26,10 +27,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from scriptorium.llm.byte_bpe import load_ranks
 from scriptorium.plans.scratch import Scratch
@@ -40,31 +41,39 @@ _PATTERN_PLAIN = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 
 
 @lru_cache(maxsize=2)
-def _vocabulary(json_path: str, ranks_path: str | None):
-    """(full tokenizer, quick one or None, special strings).
+def _full(json_path: str):
+    from tokenizers import Tokenizer  # loaded by workers that need it only
 
-    The quick one has the same vocabulary as ranks and a pattern without lookahead,
-    which splits alike where no two white-space characters meet.
+    out = Tokenizer.from_file(json_path)
+    out.no_padding()
+    out.no_truncation()
+    return out
+
+
+@lru_cache(maxsize=2)
+def _quick(ranks_path: str) -> tiktoken.Encoding:
+    """The same vocabulary as ranks, with a pattern that has no lookahead.
+
+    It splits alike where no two white-space characters meet.
     """
-    full = Tokenizer.from_file(json_path)
-    special = [t.content for t in full.get_added_tokens_decoder().values()]
-    quick = None
-    if ranks_path:
-        quick = tiktoken.Encoding("quick", pat_str=_PATTERN_PLAIN, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
-    return full, quick, special
+    return tiktoken.Encoding("quick", pat_str=_PATTERN_PLAIN, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
 
 
-def _encoder(json_path: str, ranks_path: str | None):
-    import regex
+@lru_cache(maxsize=2)
+def _special(json_path: str) -> tuple[str, ...]:
+    """Strings that the full tokenizer takes for one token."""
+    with open(json_path, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f).get("added_tokens", []))
 
-    full, quick, special = _vocabulary(json_path, ranks_path)
-    full.no_padding()
-    full.no_truncation()
+
+def _encoder(json_path: str, ranks_path: str | None):
     double = regex.compile(r"\s\s")
+    special = _special(json_path)
+    quick = _quick(ranks_path) if ranks_path else None
 
     def encode(text: str) -> list[int]:
         if quick is None or any(s in text for s in special) or double.search(text):
-            return full.encode(text, add_special_tokens=False).ids
+            return _full(json_path).encode(text, add_special_tokens=False).ids
         return quick.encode_ordinary(text)
 
     return encode
@@ -203,7 +212,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
         _places(plan(histogram, capacity)) or [(0, 0, 0, 0, 0)],
         "length long, low long, many long, first_sequence long, offset long",
     )
-    # At most capacity * RANK_BUCKETS rows, whatever the input.
+    # Dealt by the window's keys, so the join adds no exchange of the pieces.
     before = counted.select(
         "length", "bucket",
         (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"),
@@ -211,7 +220,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
     inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(id_col, "piece", "start", "ids_crc32"))
     ranked = (
         by_bucket.withColumn("inside", inside)
-        .join(F.broadcast(before), ["length", "bucket"])
+        .join(before, ["length", "bucket"])
         .withColumn("rank", F.col("before") + F.col("inside") - 1)
     )
     # A length's places are intervals of ranks in order; their starts are searched by bisection.
