@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import byte_bpe, cover_tree, langid, minhash, packing, recompress, secrets_scan, sharding, url_filter
+from scriptorium.llm import byte_bpe, cover_tree, hnsw, langid, minhash, packing, recompress, secrets_scan, sharding, url_filter
 from scriptorium.sources.tables import table
 
 
@@ -30,6 +30,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_embeddings(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_cover_tree": op2_cover_tree,
     "op3_packing": op3_packing,
     "op4_minhash": op4_minhash,
+    "op5_hnsw": op5_hnsw,
     "op6_sharding": op6_sharding,
     "op7_langid": op7_langid,
     "op8_url_filter": op8_url_filter,
