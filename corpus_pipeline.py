@@ -1,15 +1,71 @@
-"""A training-data pipeline of five stages over ``documents``."""
+"""A training-data pipeline of five stages over ``documents``.
+
+Language ID drops documents without a language, MinHash keeps one document of each group
+of near copies, substring dedup cuts repeated passages, the secret scan masks live-looking
+secrets, and packing lays what is left out in sequences.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from scriptorium.llm import langid, minhash, packing, recompress, secrets_scan
 from scriptorium.plans.scratch import Scratch
 from scriptorium.sources.tables import table
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: Words of a shingle and percent of similarity of near copies; words of a repeated passage.
+SHINGLE, SIMILAR, WINDOW = 5, 80, 50
+
+
+def _with_text(docs: DataFrame, text) -> DataFrame:
+    """``docs`` with another text, and its length where there is a column for it."""
+    changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return docs.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; the model learns from this stage's own labelled documents."""
+    known = langid.identify(docs)
+    return known.where(F.col("lang_pred") != langid.UNDETERMINED).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near copies, and all others."""
+    verdict = minhash.near_duplicates(docs, SHINGLE, SIMILAR)
+    dropped = verdict.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that a smaller document has; documents of which nothing is left go."""
+    cut = recompress.substring_dedup(docs, WINDOW)
+    out = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    return _with_text(out.withColumn("text", text).select(*docs.columns), F.col("text"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with live-looking secrets masked."""
+    return _with_text(secrets_scan.redact(docs), F.col("text"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    names = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    return packing.pack_documents(docs, *map(public_tokenizers.path, names))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language),
+    ("minhash_dedup", near_copies),
+    ("substring_dedup", passages),
+    ("secret_scan", secrets),
+    ("best_fit_packing", pack),
+]
+#: SQL can't express the first three stages.
 ORACLE_SQL = None
 
 
