@@ -1 +1 @@
-
+"""Readers, and marked-up test documents built from plain tables."""
