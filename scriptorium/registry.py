@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from scriptorium.catalog import structure  # noqa: F401  each module registers its queries
+from scriptorium.catalog.common import ORACLES, QUERIES
 
 FLAGSHIP = "sections_outline"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
