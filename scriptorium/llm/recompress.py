@@ -8,11 +8,16 @@ either end that grows with the rounds (``margin``).
 
 A window of w words keeps a zone of w - 2 * margin words in which all documents that
 hold it agree.  One symbol of the zone stands for the window: the longest one, ties by
-name.  Neighbouring windows mostly share it, so few symbols are shuffled.  Symbols that
-meet in two documents reveal candidate windows, and only those are verified, by 128-bit
-names of all their words.
+name.  With the margin of words on either side of it, which each such window holds too, it
+names a context of half a window.  Neighbouring windows mostly share it, so a text has few
+marks: a context, and the stretch of all windows that it stands for there.
 
-A window repeated in another document always has its symbol there too; nothing is lost.
+Contexts that meet in two documents reveal candidates.  Of these, a stretch that a smaller
+document has just as it is, is settled by its 64-bit name and the context's.  What is left
+is one stretch of each name, and only where a context has several: their windows are
+verified one by one, by 128-bit names of all their words.
+
+A window repeated in another document always has its context there too; nothing is lost.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.components import spread
 from scriptorium.llm.wordhash import U64, Words, chunks, mix
+from scriptorium.plans.scratch import Scratch
 
 _C = U64(0x9E3779B97F4A7C15)
 _BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
@@ -91,7 +97,7 @@ def recompress(names: np.ndarray, owner: np.ndarray, rounds: int) -> tuple[np.nd
 
 
 def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, symbol, first and last start of the windows it stands for) for all windows."""
+    """(text index, context, first and last start of the windows it stands for) for all windows."""
     rounds = rounds_for(window)
     names, owner = words.names[0], words.owner()
     valid = words.counts >= window
@@ -129,7 +135,10 @@ def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     change[1:] = (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])
     heads = np.flatnonzero(change)
     tails = np.append(heads[1:], total) - 1
-    return text[heads], symbol[chosen[heads]], local[heads], local[tails]
+    best_at = chosen[heads]
+    # Every window it stands for holds the margin around the symbol as well.
+    context = stretch_names(names, start[best_at] - edge, end[best_at] + edge)
+    return text[heads], mix(symbol[best_at] ^ context), local[heads], local[tails]
 
 
 def window_names(words: Words, window: int) -> list[np.ndarray]:
@@ -150,6 +159,20 @@ def window_names(words: Words, window: int) -> list[np.ndarray]:
     return out
 
 
+def stretch_names(names: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit names of the words begin..end-1, with their number."""
+    n, base = len(names), 0xC2B2AE3D27D4EB4F
+    power = np.full(n + 1, U64(base), dtype=np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    back = np.full(n + 1, U64(pow(base, -1, 1 << 64)), dtype=np.uint64)
+    back[0] = 1
+    back = np.multiply.accumulate(back)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(names * power[:n], out=sums[1:])
+    return mix((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64) * _C)
+
+
 def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
@@ -158,20 +181,22 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [b or b"" for b in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def _anchor_rows(base: DataFrame, window: int) -> DataFrame:
+def _marks(base: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             keys = batch.column("text_key").to_numpy(zero_copy_only=False)
             for rows, texts in chunks(list(range(batch.num_rows)), _texts(batch)):
-                text, symbol, low, high = anchors(Words(texts), window)
+                words = Words(texts, lanes=2)
+                text, context, low, high = anchors(words, window)
+                stretch = stretch_names(words.names[1], words.first[text] + low, words.first[text] + high + window)
                 row = np.array(rows, dtype=np.int64)[text]
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(symbol), pa.array(ids[row]), pa.array(keys[row]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
-                    names=["symbol", "doc_id", "text_key", "low", "high"],
+                    [_signed(context), _signed(stretch), pa.array(ids[row]), pa.array(keys[row]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
+                    names=["context", "stretch", "doc_id", "text_key", "low", "high"],
                 )
 
-    return base.mapInArrow(run, "symbol long, doc_id long, text_key long, low int, high int")
+    return base.mapInArrow(run, "context long, stretch long, doc_id long, text_key long, low int, high int")
 
 
 def _window_rows(candidates: DataFrame, window: int) -> DataFrame:
@@ -206,27 +231,21 @@ def _cut(joined: DataFrame, window: int, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, kept = [], [], []
-            for text, copy, starts in zip(_texts(batch), batch.column("copy").to_pylist(), batch.column("starts")):
+            for text, ranges in zip(_texts(batch), batch.column("ranges")):
                 words = text.split()
-                n = len(words)
+                n, gone = len(words), 0
                 counts.append(n)
-                if copy:
-                    gone = n if n >= window else 0
-                    words = words[gone:]
-                elif starts.is_valid:
+                if ranges.is_valid:
                     cover = np.zeros(n + 1, dtype=np.int32)
-                    at = np.unique(starts.values.to_numpy())
-                    cover[at] += 1
-                    np.add.at(cover, at + window, -1)
+                    np.add.at(cover, ranges.values.field("low").to_numpy(), 1)
+                    np.add.at(cover, ranges.values.field("high").to_numpy() + window, -1)
                     stay = np.cumsum(cover[:n]) == 0
                     gone = n - int(stay.sum())
                     words = [words[i] for i in np.flatnonzero(stay)]
-                else:
-                    gone = 0
                 removed.append(gone)
                 kept.append(b" ".join(words))
-            columns = [batch.column(n) for n in batch.schema.names if n not in ("text_key", "copy", "starts")]
-            names = [n for n in batch.schema.names if n not in ("text_key", "copy", "starts")]
+            columns = [batch.column(n) for n in batch.schema.names if n not in ("text_key", "ranges")]
+            names = [n for n in batch.schema.names if n not in ("text_key", "ranges")]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
                 names=[*names, "n_words", "n_removed", "kept"],
@@ -235,7 +254,7 @@ def _cut(joined: DataFrame, window: int, schema: str) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with n_words, n_removed and kept (the kept words, joined by one space).
 
     Removed is each word covered by a window whose word sequence also starts in a
@@ -250,23 +269,27 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("text_key"),
         *([F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest")] if others else []),
     )
+    scratch = scratch or Scratch(docs.sparkSession, "recompress")
     key = ["doc_id", "text_key"]
-    # Exact copies of a smaller document are known at once.
-    digests = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.md5(F.col(text_col).cast("string")).alias("digest")
-    )
-    leads = spread(digests, "digest", F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last")
-    copies = digests.join(leads, "digest").where("doc_id > lead").select(*key).distinct().withColumn("copy", F.lit(True))
-    # The exchange of texts by id is the same below, and Spark runs it once.
-    own = base.join(copies, key, "left").where("copy is null and doc_id is not null").drop("copy")
-    marks = _anchor_rows(own, window)
-    shared = spread(marks, "symbol", F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("symbol")
-    ranges = marks.join(shared, "symbol").groupBy(*key).agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    windows = _window_rows(base.join(ranges, key), window)
-    first = windows.groupBy("one", "two", F.xxhash64("one", "two").alias("_spread")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("one", "two", "least")
-    starts = windows.join(first, ["one", "two"]).where("doc_id > least").groupBy(*key).agg(F.collect_list("start").alias("starts"))
-    joined = base.join(copies, key, "left").join(starts, key, "left")
+    marks = _marks(base.select("doc_id", "text", "text_key").where("doc_id is not null and text is not null"), window)
+    shared = spread(marks, "context", F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("context")
+    met = scratch.keep(marks.join(shared, "context"), "marks")
+
+    name = ["context", "stretch"]
+    first = met.groupBy(*name, F.xxhash64(*name).alias("_spread")).agg(F.min("doc_id").alias("least")).drop("_spread")
+    led = scratch.keep(met.join(first, name), "led")
+    scratch.discard(met)
+    settled = led.where("doc_id > least").select(*key, "low", "high")
+    several = spread(led.where("doc_id = least").select(*name).distinct(), "context", F.count("*").alias("n")).where("n > 1").select("context")
+    open_ranges = led.where("doc_id = least").join(several, "context").select(*key, F.struct("low", "high").alias("r")).groupBy(*key).agg(F.collect_list("r").alias("ranges"))
+
+    # The exchange of texts by id is the same in both joins below, and Spark runs it once.
+    windows = _window_rows(base.join(open_ranges, key), window)
+    earliest = windows.groupBy("one", "two", F.xxhash64("one", "two").alias("_spread")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("one", "two", "least")
+    verified = windows.join(earliest, ["one", "two"]).where("doc_id > least").select(*key, F.col("start").alias("low"), F.col("start").alias("high"))
+    ranges = settled.unionByName(verified).groupBy(*key).agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    joined = base.join(ranges, key, "left")
     extra = f", rest {base.schema['rest'].dataType.simpleString()}" if others else ""
-    cut = _cut(joined.select("doc_id", "text", *(["rest"] if others else []), "text_key", "copy", "starts"), window, f"doc_id long, text string{extra}, n_words long, n_removed long, kept string")
+    cut = _cut(joined.select("doc_id", "text", *(["rest"] if others else []), "text_key", "ranges"), window, f"doc_id long, text string{extra}, n_words long, n_removed long, kept string")
     restored = [F.col("doc_id").cast(docs.schema[id_col].dataType).alias(c) if c == id_col else F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c in (id_col, text_col, *others)]
     return cut.select(*restored, "n_words", "n_removed", "kept")
