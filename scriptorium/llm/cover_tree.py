@@ -24,7 +24,7 @@ from scriptorium.llm.embeddings import common_length, matrix, pivots, salted, us
 from scriptorium.plans.scratch import Scratch
 
 #: Vectors in a shard and in a query group; points of a leaf and children of a node, at most.
-SHARD, GROUP, LEAF, FAN = 2048, 512, 32, 48
+SHARD, GROUP, LEAF, FAN = 2048, 512, 256, 24
 
 
 class CoverTree:
@@ -81,6 +81,16 @@ class Best:
         return float(np.maximum(self.score[which, -1], self.floor[which]).min())
 
     def offer(self, which: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        # Most queries have nothing to gain from most leaves.
+        gains = score.max(axis=1) >= np.maximum(self.score[which, -1], self.floor[which])
+        if not gains.any():
+            return
+        which, score = which[gains], score[gains]
+        if score.shape[1] > 4 * self.k:
+            # Columns that no query's k best of this leaf come from, ties included, can go.
+            kth = -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1]
+            use = (score >= np.maximum(kth, self.floor[which])[:, None]).any(axis=0)
+            score, ids = score[:, use], ids[use]
         score = np.concatenate([self.score[which], score], axis=1)
         ids = np.concatenate([self.id[which], np.broadcast_to(ids, (len(which), len(ids)))], axis=1)
         order = np.lexsort((ids, -score), axis=1)[:, : self.k]

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.plans.scratch import Scratch
+
 #: Kind -> (pattern, group that holds the value, least length of that group), in the order of the kinds.
 KINDS = {
     "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
@@ -117,8 +119,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     """
     found = candidates(docs, id_col, text_col, owner_col, repo_col)
     key = ["id", "text_key"]
-    # Only rows with a candidate take part; each (id, text) once.
-    some = found.where(F.size("base") + F.size("tokens") > 0)
+    # Only rows with a candidate take part; each (id, text) once.  Texts are searched in this one pass.
+    some = Scratch(docs.sparkSession, "secrets").keep(found.where(F.size("base") + F.size("tokens") > 0), "candidates")
     spans = some.select(*key, F.explode(F.concat("base", "tokens")).alias("s")).select(*key, "s.*").distinct()
     known = spans.join(ownership(some), "hash")
     kept = known.where((F.col("kind") != "token") | (F.col("owners") < EXAMPLE_OWNERS))
