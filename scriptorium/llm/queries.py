@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import byte_bpe, cover_tree, hnsw, langid, minhash, packing, recompress, secrets_scan, sharding, url_filter
+from scriptorium.llm.oracles import ORACLES
 from scriptorium.sources.tables import table
 
 
@@ -80,7 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_recompression": op10_recompression,
 }
-ORACLES: dict[str, str] = {}
+
+
+__all__ = ["ORACLES", "QUERIES", "registered"]
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
