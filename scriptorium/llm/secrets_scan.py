@@ -147,7 +147,7 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with the values of live-looking findings replaced by ``mark``; all rows and columns stay.
+    """``docs`` with the spans of live-looking findings replaced by ``mark``; all rows and columns stay.
 
     Values of copied examples stay, as nothing is lost by showing them.  Overlapping spans
     are cut as one.
