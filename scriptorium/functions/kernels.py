@@ -92,9 +92,10 @@ def strip_comments(text: str) -> str:
 
 
 # Macros.
+# Names that keep their meaning whatever a paper defines.
 PROTECTED = frozenset(
-    "section subsection subsubsection paragraph subparagraph chapter part caption label ref eqref autoref footnote begin end item "
-    "title author abstract maketitle appendix input include includegraphics bibliography bibliographystyle documentclass usepackage".split()
+    "section subsection subsubsection subsubsubsection paragraph subparagraph chapter part appendix title author abstract maketitle "
+    "ref cref Cref eqref autoref nameref pageref vref label caption footnote footnotetext includegraphics input include".split()
 )
 _NEW = re.compile(r"\\(?:re)?newcommand\*?|\\providecommand\*?")
 _NAME = re.compile(r"\s*\{?\s*\\([A-Za-z@]+|.)\s*\}?")
@@ -262,23 +263,25 @@ def bib_authors(field: str) -> list[str]:
 
 
 # Markup.
-_BOLD, _ITALIC = ("textbf", "mathbf", "bm"), ("textit", "emph", "textsl")
-_KEEP = ("textrm", "textsf", "textsc", "textnormal", "textup", "text", "mbox", "underline", "uline", "textmd", "mathrm", "textsuperscript", "textsubscript")
-_MARKUP = re.compile(r"\\(" + "|".join((*_BOLD, *_ITALIC, *_KEEP, "texttt", "sout", "st")) + r")(?![A-Za-z])")
+# Commands whose text becomes Markdown, and those whose text stays.
+_BOLD, _ITALIC = ("textbf", "mathbf"), ("textit", "textsl", "emph", "mathit")
+_KEEP = ("underline", "uline", "textsc", "textsf", "textrm", "text", "mathrm", "mbox", "hbox", "fbox")
+_MARKUP = re.compile(r"\\(" + "|".join((*_BOLD, *_ITALIC, *_KEEP, "texttt", "sout")) + r")(?![A-Za-z])")
 _HEAD = re.compile(r"\\(paragraph|subparagraph)\*?(?![A-Za-z])")
 _SECTION = re.compile(r"\\(?:part|chapter|(?:sub){0,2}section)\*?(?:\[[^\]]*\])?(?![A-Za-z])")
 _LINK = re.compile(r"\\href(?![A-Za-z])")
 _URL = re.compile(r"\\(?:url|nolinkurl)(?![A-Za-z])")
 _HYPER = re.compile(r"\\hyperref(?:\[[^\]]*\])?(?![A-Za-z])")
 _BOX = {
-    re.compile(r"\\(?:fbox|framebox|makebox|mbox|shadowbox|adjustbox|hbox)(?:\[[^\]]*\]){0,2}(?![A-Za-z])"): 1,
-    re.compile(r"\\(?:parbox(?:\[[^\]]*\]){0,3}|colorbox|textcolor|resizebox(?=\{)|scalebox|rotatebox)(?![A-Za-z])"): 2,
+    re.compile(r"\\(?:makebox|framebox)(?![A-Za-z])(?:\s*\[[^\]]*\]){0,2}"): 1,
+    re.compile(r"\\(?:parbox|colorbox|textcolor|scalebox|rotatebox)(?![A-Za-z])(?:\s*\[[^\]]*\]){0,3}"): 2,
+    re.compile(r"\\raisebox(?![A-Za-z])\s*\{[^{}]*\}(?:\s*\[[^\]]*\]){0,2}"): 1,
 }
 
 
 def _marked(m: re.Match, a: list[str]) -> str:
     name, text = m.group(1), a[0].strip() if m.group(1) not in _KEEP else a[0]
-    sign = "**" if name in _BOLD else "*" if name in _ITALIC else "`" if name == "texttt" else "~~" if name in ("sout", "st") else ""
+    sign = "**" if name in _BOLD else "*" if name in _ITALIC else "`" if name == "texttt" else "~~" if name == "sout" else ""
     return f"{sign}{text}{sign}" if text else ""
 
 
@@ -288,7 +291,7 @@ def markup(text: str) -> str:
 
 
 def paragraph_heads(text: str) -> str:
-    return rewrite(text, _HEAD, 1, lambda m, a: f"**{markup(a[0])}** " if m.group(1) == "paragraph" else f"*{markup(a[0])}* ")
+    return rewrite(text, _HEAD, 1, lambda m, a: f"\n\n**{markup(a[0])}**\n" if m.group(1) == "paragraph" else f"\n*{markup(a[0])}*\n")
 
 
 def drop_headings(text: str) -> str:

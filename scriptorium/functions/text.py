@@ -53,8 +53,6 @@ def between(c: Column, pattern: str, rewrite) -> Column:
     )
 
 
-#: LaTeX escapes and their characters.
-ESCAPES = [(r"\\([%$&#_{}])", "$1"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
 SPACES = [(r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n")]
 
 
@@ -64,22 +62,37 @@ def tidy(c: Column) -> Column:
 
 
 _BRACED = r"\{((?:[^{}\\]|\\.|\{(?:[^{}\\]|\\.|\{[^{}]*+\})*+\})*+)\}"
+# Fixed values of the inline cleaner.
+WRAPPERS = "tcolorbox|center|minipage|adjustwidth|quote|quotation|mdframed|framed"
+INLINE_MARKUP = "textit|textbf|texttt|emph|textsc|textsf|textrm|text|underline|uline|sout|mbox|hbox|mathbf|mathit|mathrm"
+FONTS = "Large|large|huge|Huge|small|footnotesize|scriptsize|tiny|normalsize|bf|bfseries|it|itshape|sf|sffamily|tt|ttfamily|rm|rmfamily|em|sl|slshape|sc|scshape"
+
+
+def _listed(command: str, sign: str) -> list[tuple[str, str]]:
+    """A command with comma-separated names as a marker; private characters hold its place meanwhile."""
+    return [(command + r"\{([^{}]++)\}", "\ue001$1\ue002"), (r"\s*+,\s*+(?=[^\ue001\ue002]*+\ue002)", f"; {sign}"), (r"\ue001\s*+", f"[{sign}"), (r"\s*+\ue002", "]")]
+
+
 _INLINE = [
-    (r"(?s)\\begin\{(center|small|flushleft)\}(.*?)\\end\{\1\}", "$2"),
+    (rf"\\begin\{{(?:{WRAPPERS})\}}\s*+(?:\[(?:[^\[\]]|\[[^\]]*+\])*+\])?\s*+(?:\{{[^{{}}]*+\}})?", " "),
+    (rf"\\end\{{(?:{WRAPPERS})\}}", " "),
     (r"\\label\{[^{}]*+\}", ""),
-    (r"\\\\\*?(?:\[[^\]]*+\])?", " "),
-    (r"~?\\[A-Za-z]*[cC]ite[A-Za-z]*+\*?(?:\[[^\]]*+\]){0,2}\{([^{}]*+)\}", "[@$1]"),
-    (r"\\(?:eq|auto|c|C|name|page|v|pretty)?ref\{([^{}]*+)\}", "[#$1]"),
+    (r"\\\\|~", " "),
+    *_listed(r"\\[A-Za-z]*[cC]ite[A-Za-z]*+\*?(?:\[[^\]]*+\]){0,2}", "@"),
+    *_listed(r"\\(?:eq|auto|c|C|name|page|v|pretty)?ref", "#"),
     (r"\\href\{[^{}]*+\}" + _BRACED, "$1"),
     (r"\\url\{([^{}]*+)\}", "$1"),
-    (r"\\(?:textcolor|colorbox)\{[^{}]*+\}" + _BRACED, "$1"),
-    *[(r"\\(?:textbf|textit|emph|texttt|textsc|textrm|textsf|underline|mathbf|mathrm|text|mbox)" + _BRACED, "$1")] * 3,
-    (r"\\(?:bf|it|tt|rm|sc|em|tiny|scriptsize|footnotesize|small|normalsize|large|Large|LARGE|huge|Huge|bfseries|itshape|ttfamily)(?![A-Za-z])\s*+", ""),
-    (r"\\([%$&#_])", "$1"),
-    (r"\\[A-Za-z]+\{\}", ""),
-    (r"~", " "),
-    *[(r"\{([^{}\\]*+)\}", "$1")] * 3,
-    (r"\s+", " "),
+    *[(r"\\textcolor\{[^{}]*+\}" + _BRACED, "$1")] * 3,
+    *[(rf"\\(?:{INLINE_MARKUP})" + _BRACED, "$1")] * 3,
+    (r"\\texorpdfstring" + _BRACED + r"\{([^{}]*+)\}", "$2"),
+    ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"),
+    (r"\\([%&$_#])", "$1"),
+    (r"\\textquotesingle\b", "'"), (r"\\textquotedbl(?:left|right)\b", '"'), (r"\\l?dots\b", "…"),
+    (r"\\[A-Za-z]++\*?\{\}", ""),
+    (rf"\\(?:{FONTS})\b", " "),
+    (r"\\[A-Za-z]++\*?\s*+(?:\[[^\]]*+\])++", " "),
+    *[(r"\{([^{}\\]++)\}", "$1"), (r"\{\s*+\}", "")] * 3,
+    (r"\s++", " "),
 ]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Callable
 
 import pandas as pd
@@ -54,3 +55,9 @@ def bib_entries(content: pd.Series) -> pd.Series:
         return [{"key": k, "type": t, "fields": f, "raw": r, "title": K.bib_value(f.get("title", "")) or None, "authors": K.bib_authors(f.get("author", "")) if f.get("author") else []} for k, t, f, r in K.bib_entries(text or "")]
 
     return content.map(one)
+
+
+@F.pandas_udf(T.ArrayType(_S))
+def unescape_html(values: pd.Series) -> pd.Series:
+    """Character references of all kinds, for which there is no built-in."""
+    return values.map(lambda a: [html.unescape(x) for x in a] if a is not None else None)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.udfs import bib_entries
 
-VENUE = ["booktitle", "journal", "journaltitle", "publisher", "howpublished", "school", "institution", "archiveprefix"]
+# Fields that name the venue, by priority.
+VENUE = ["booktitle", "journal", "conference", "proceedings", "publisher", "school", "institution", "howpublished"]
 
 
 def entries(files: DataFrame) -> DataFrame:

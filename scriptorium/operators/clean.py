@@ -14,26 +14,52 @@ from pyspark.sql import functions as F
 from scriptorium.functions import udfs
 from scriptorium.functions.text import between, fold, strip, tidy
 
-MATH = r"(?s)(?<!\\)\$\$(?:[^$\\]|\\.)++\$\$|\\\[.*?\\\]|\\\(.*?\\\)|(?<![\\$])\$(?:[^$\\\n]|\\.)++\$"
+MATH = r"(?s)\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|(?<!\\)\$(?:\\.|[^$\\])++\$"
 _MARK = "\ue000"
-_THEOREM = "theorem|lemma|corollary|proposition|definition|remark|example|claim|conjecture|assumption|observation|proof|fact"
-_CALLOUT = "tcolorbox|mdframed|framed|shaded|quote|quotation|verse|boxedminipage|mybox|promptbox|takeaway|keypoint|finding|insight|note|important|warning|tip|question|answer|highlight|summary|infobox|examplebox|abstractbox|response"
+
+# Environments that become block quotes.
+THEOREMS = ["definition", "theorem", "lemma", "proof", "proposition", "corollary", "claim", "remark", "example", "fact", "observation", "conjecture", "assumption"]
+CALLOUTS = [
+    "mdframed", "tcolorbox", "tcb", "framed", "shaded", "colorbox", "takeaway", "monoquote", "SQLVerbatim", "verbatimcode", "finding", "remark", "note",
+    "highlight", "insight", "observation", "recipe", "callout", "infobox", "warningbox", "errorbox", "examplebox", "promptbox", "attackbox", "defensebox",
+]
+# Commands without content, by the number of their arguments.
+BARE = (
+    "maketitle tableofcontents printbibliography appendix centering noindent linebreak newline newpage clearpage smallskip medskip bigskip par quad qquad "
+    "hfill vfill FloatBarrier ignorespaces protect parttoc xspace arraystretch tabcolsep itemsep topsep parsep parskip columnwidth textwidth linewidth "
+    "gdef global let balance onecolumn twocolumn enddocument endinput cleardoublepage dotfill hrulefill"
+).split()
+ONE_ARGUMENT = r"bibliographystyle bibliography input include hspace\*? vspace\*? afterpage thispagestyle pagestyle part color ding".split()
+TWO_ARGUMENTS = "setcounter addtocounter setlength renewcommand providecommand rule".split()
+FRAMES = (
+    "minipage monoquote takeaway mybox comment highlight SQLVerbatim verbatimcode prompt attack defense finding remark note callout infobox warningbox "
+    "errorbox examplebox insight tcb recipe"
+).split()
+SYMBOLS = r"bm operatorname\*? mathcal mathbb mathfrak mathrm mathit mathbf mathring widetilde widehat overline underline ensuremath".split()
+SIZES = "Large large huge Huge small footnotesize scriptsize tiny normalsize bf bfseries it itshape sf sffamily tt ttfamily rm rmfamily em sl slshape sc scshape".split()
+
+_A = r"\{[^{}]*+\}"
 _NOISE = "|".join((
-    r"\\(?:vspace|hspace|setlength|setcounter|addtocounter|renewcommand|pagestyle|thispagestyle|bibliographystyle|bibliography|input|include|graphicspath|captionsetup|phantomsection|addcontentsline|fontsize|selectfont|pdfoutput|usepackage)\*?(?:\[[^\]]*+\])*(?:\{[^{}]*+\})*",
-    r"\\(?:centering|raggedright|raggedleft|noindent|indent|newpage|clearpage|cleardoublepage|pagebreak|linebreak|newline|smallskip|medskip|bigskip|vfill|hfill|maketitle|tableofcontents|protect|null|quad|qquad|par|toprule|midrule|bottomrule|hline|sloppy|allowbreak|displaybreak|nopagebreak|appendix)(?![A-Za-z])",
-    r"\\[,;:!/@ ]",
+    rf"\\(?:{'|'.join(BARE)})(?![a-z])",
+    rf"\\(?:{'|'.join(ONE_ARGUMENT)}){_A}",
+    rf"\\(?:{'|'.join(TWO_ARGUMENTS)}){_A}{_A}",
+    rf"\\addcontentsline{_A}{_A}{_A}",
+    r"\\(?:hypersetup|graphicspath)\{(?:[^{}]|\{[^{}]*+\})*+\}",
+    rf"\\(?:begin|end)(?:{'|'.join(FRAMES)})(?![a-z])",
 ))
-_SIZES = r"\\(?:tiny|scriptsize|footnotesize|small|normalsize|large|Large|LARGE|huge|Huge|bf|it|tt|sc|sf|rm|em|sl|bfseries|itshape|ttfamily|scshape|sffamily|rmfamily|upshape|slshape)(?![A-Za-z])\s?"
 
 
-def _quoted(pattern: str, head):
+def _quote_lines(body: Column) -> Column:
+    return F.array_join(F.transform(F.split(strip(body), "\n"), lambda x: F.when(x == "", ">").otherwise(F.concat(F.lit("> "), x))), "\n")
+
+
+def _quoted(pattern: str, body: int, head=None):
     """Environments as block quotes."""
 
     def rule(c: Column) -> Column:
         def one(match: Column) -> Column:
-            body = F.regexp_extract(match, pattern, 3)
-            lines = F.transform(F.split(strip(body), "\n"), lambda x: F.concat(F.lit("> "), F.trim(x)))
-            return F.concat(F.lit("\n"), head(match, pattern), F.array_join(lines, "\n"), F.lit("\n"))
+            parts = [F.lit("\n\n"), *([head(match, pattern)] if head else []), _quote_lines(F.regexp_extract(match, pattern, body)), F.lit("\n")]
+            return F.concat(*parts)
 
         return between(c, pattern, one)
 
@@ -45,14 +71,14 @@ def _theorem_head(match: Column, pattern: str) -> Column:
     return F.concat(F.lit("> **"), name, F.when(title != "", F.concat(F.lit(" ("), title, F.lit(")"))).otherwise(""), F.lit(".**\n"))
 
 
-def _environment(names: str) -> str:
-    return rf"(?s)\\begin\{{({names})\*?\}}(?:\[([^\]]*+)\])?(.*?)\\end\{{\1\*?\}}"
+_THEOREM = rf"(?s)\\begin\{{({'|'.join(THEOREMS)})\*?\}}\s*(?:\[([^\]]*+)\])?(.*?)\\end\{{\1\*?\}}"
+_CALLOUT = rf"(?s)\\begin\{{({'|'.join(CALLOUTS)})\*?\}}\s*(?:\[(?:[^\[\]]|\[[^\]]*+\])*+\])?\s*(?:\{{[^{{}}]*+\}})?(.*?)\\end\{{\1\*?\}}"
 
 
 def _floats(c: Column) -> Column:
-    pattern = r"(?s)\\begin\{((?:figure|table|wrapfigure|wraptable|sidewaystable)\*?)\}(.*?)\\end\{\1\}"
-    wrapper = r"\\caption\*?(?:\[[^\]]*+\])?\{(?:[^{}]|\{[^{}]*+\})*+\}|\\label\{[^{}]*+\}|\\centering|^\s*+\[[^\]]*+\]"
-    drop = r"\\includegraphics|\\begin\{(?:tabular|longtable)"
+    pattern = r"(?s)\\begin\{((?:figure|table|sidewaystable|wraptable|wrapfigure)\*?|longtable|listing)\}\s*(?:\[[^\]]*+\])?(.*?)\\end\{\1\}"
+    wrapper = r"\\(?:caption|centering|label)(?:\[[^\]]*+\])?(?:\{(?:[^{}]|\{[^{}]*+\})*+\})?"
+    drop = r"\\includegraphics\b|\\begin\{(?:tabular\*?|tabularx|longtable)\}"
     return between(c, pattern, lambda m: F.when(m.rlike(drop), F.lit("")).otherwise(F.regexp_replace(F.regexp_extract(m, pattern, 2), wrapper, "")))
 
 
@@ -62,26 +88,28 @@ def replace(pattern: str, by: str = ""):
 
 #: (name, rule) in order; the order is part of the meaning.
 RULES = [
-    ("code-listings", replace(r"(?s)\\begin\{(lstlisting|minted|verbatim\*?)\}.*?\\end\{\1\}")),
-    ("theorem-envs", _quoted(_environment(_THEOREM), _theorem_head)),
-    ("callout-envs", _quoted(_environment(_CALLOUT), lambda m, p: F.lit(""))),
-    ("frame-box", replace(r"\\fcolorbox\{[^{}]*+\}\{[^{}]*+\}\{((?:[^{}]|\{[^{}]*+\})*+)\}", "\n> $1\n")),
+    ("code-listings", replace(r"(?s)\\begin\{(lstlisting|minted|verbatim)\*?\}.*?\\end\{\1\*?\}")),
+    ("theorem-envs", _quoted(_THEOREM, 3, _theorem_head)),
+    ("callout-envs", _quoted(_CALLOUT, 2)),
+    ("frame-box", _quoted(r"\\fcolorbox\{[^}]*+\}\{[^}]*+\}\{((?:[^{}]|\{[^{}]*+\})*+)\}", 1)),
     ("false-blocks", replace(r"(?s)\\if0\b.*?\\fi\b")),
     ("equations", replace(r"(?s)\\begin\{((?:equation|align|gather|multline|eqnarray)\*?)\}.*?\\end\{\1\}")),
     ("algorithms", replace(r"(?s)\\begin\{((?:algorithm|algorithmic)\*?|algorithm2e)\}.*?\\end\{\1\}")),
     ("floats", _floats),
     ("labels", replace(r"\\label\{[^{}]*+\}")),
-    ("headings-links-boxes", udfs.structural),
-    ("lists", lambda c: fold(c, [(r"\\(?:begin|end)\{(?:itemize|enumerate|description)\*?\}(?:\[[^\]]*+\])?", ""), (r"\\item(?![A-Za-z])\s*+(?:\[[^\]]*+\])?\s*+", "- ")])),
+    ("headings-paragraphs-links-boxes", udfs.structural),
+    ("lists", lambda c: fold(c, [(r"\\begin\{(?:itemize|enumerate|description)\}\s*(?:\[[^\]]*+\])?|\\end\{(?:itemize|enumerate|description)\}", "\n"), (r"\\item\b\s*+(?:\[[^\]]*+\])?\s*+", "\n- ")])),
     ("linebreaks", replace(r"\\\\\*?(?:\[[^\]]*+\])?", "\n")),
     ("markup", udfs.markup),
-    ("noise", replace(_NOISE, " ")),
-    ("section-sign", replace(r"\\S(?=~?\s?\[#)", "§ ")),
-    ("escapes", lambda c: fold(c, [(r"\\textbackslash(?:\{\})?", r"\\\\"), (r"\\([%$&#_{}])", "$1"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")])),
+    ("noise", lambda c: fold(c, [(_NOISE, " "), *[(rf"\\(?:{'|'.join(SYMBOLS)})\{{([^{{}}]*+)\}}", "$1")] * 3])),
+    ("section-sign", replace(r"\\S\s*+(?=\[#)", "§ ")),
+    ("escapes", lambda c: fold(c, [
+        (r"\\([%&$_#])", "$1"), (r"\\textquotesingle\b", "'"), (r"\\textquotedbl(?:left|right)\b", '"'), (r"\\l?dots\b", "…"),
+        (r"\\textbackslash\b", r"\\\\"), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")])),
     ("tilde", lambda c: F.translate(c, "~", " ")),
-    ("empty-commands", replace(r"\\[A-Za-z]+\{\}", " ")),
-    ("font-sizes", replace(_SIZES, " ")),
-    ("groups", lambda c: fold(c, [(r"\{([^{}\\]*+)\}", "$1")] * 3)),
+    ("empty-commands", replace(r"\\[A-Za-z]+\*?\{\}", " ")),
+    ("font-sizes", replace(rf"\\(?:{'|'.join(SIZES)})\b", " ")),
+    ("groups", lambda c: fold(c, [(r"\{([^{}\\]++)\}", "$1"), (r"\{\s*+\}", "")] * 3)),
     ("whitespace", tidy),
 ]
 

@@ -15,21 +15,24 @@ LABEL = r"\\label\{([^{}]*+)\}"
 GRAPHIC = r"\\includegraphics\*?\s*+(?:\[[^\]]*+\])?\s*+\{([^{}]*+)\}"
 TABULAR = r"(?s)\\begin\{(tabular\*?|tabularx|longtable)\}.*?\\end\{\1\}"
 #: Layout commands that don't count as a figure's text.
-LAYOUT = r"\\(?:centering|hspace|vspace|hfill|vfill|small|footnotesize|scriptsize|begin|end|linewidth|textwidth|columnwidth|par|noindent|subfigure|minipage|fbox|parbox)\*?+(?:\[[^\]]*+\])?(?:\{[^{}]*+\})?|[{}\s]"
+LAYOUT = (
+    r"\\(?:vspace\*?|hspace\*?|captionsetup)\{[^}]*+\}|\\(?:setlength|resizebox)\{[^}]*+\}\{[^}]*+\}|\\(?:begin|end)\{(?:center|subfigure|minipage)\}(?:\[[^\]]*+\])?"
+    r"|\\(?:centering|small|footnotesize|scriptsize|tiny|normalsize|large|Large|noindent)(?![A-Za-z])|[{}\s]"
+)
 
 ENVIRONMENTS = {
-    "figure": r"figure\*?|wrapfigure",
-    "table": r"table\*?|sidewaystable\*?|wraptable|longtable\*?|supertabular\*?",
+    "figure": r"figure\*?|wrapfigure\*?",
+    "table": r"table\*?|longtable|sidewaystable\*?|wraptable\*?",
     "equation": r"equation\*?|align\*?|gather\*?|multline\*?|eqnarray\*?",
     "algorithm": r"algorithm\*?|algorithmic\*?|algorithm2e",
     "listing": r"lstlisting|minted",
     "verbatim": r"verbatim\*?",
 }
 PREFIX = {"figure": "fig", "table": "tab", "equation": "eq", "algorithm": "alg", "listing": "lst"}
+# Label heads that stand for a kind.
 ALIASES = {
-    "fig": ["fig", "figure", "Fig", "Figure", "FIG"], "tab": ["tab", "table", "tbl", "Tab", "Table", "TAB"],
-    "eq": ["eq", "eqn", "equation", "Eq", "Equation", "EQ"], "alg": ["alg", "algo", "algorithm", "Alg", "Algorithm"],
-    "lst": ["lst", "listing", "code", "Lst", "Listing"],
+    "fig": ["fig", "figure", "Figure", "Fig"], "tab": ["tab", "table", "Table", "Tab"], "eq": ["eq", "equation", "Equation", "Eq"],
+    "alg": ["alg", "algorithm", "Algorithm", "Alg"], "lst": ["lst", "listing", "Listing", "code"],
 }
 
 
@@ -83,7 +86,7 @@ def listings(docs: DataFrame) -> DataFrame:
     Unlabelled ones are numbered lst:1, lst:2, ... in that order.  Labels that begin with
     ``line:`` mark lines: they are taken out of the code and listed.
     """
-    head = r"^(?:\s*+\[[^\]]*+\])?(?:\{([A-Za-z0-9+#-]{1,30})\})?"
+    head = r"^(?:\s*+\[[^\]]*+\])?\s*+(?:\{([A-Za-z][A-Za-z0-9+#._-]*+)\})?"
     code = blocks(docs, "listing").withColumn("pass", F.lit(0))
     plain = blocks(docs, "verbatim").withColumn("pass", F.lit(1))
     out = code.unionByName(plain)

@@ -69,3 +69,8 @@ def sections(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("start") >= F.col("appendix"), F.lit(False)).alias("is_appendix"),
         F.substring("tex", F.col("end_heading") + 1, stop - F.col("end_heading")).alias("raw"),
     )
+
+
+def cut_appendix(docs: DataFrame) -> DataFrame:
+    """``docs`` with the text up to the appendix switch."""
+    return docs.withColumn("tex", F.split("tex", APPENDIX, 2)[0])
