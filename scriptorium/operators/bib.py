@@ -12,11 +12,12 @@ VENUE = ["booktitle", "journal", "conference", "proceedings", "publisher", "scho
 
 
 def entries(files: DataFrame) -> DataFrame:
-    """(file, size, ordinal, key, type, title, authors, year, venue, raw) of (file, size, content)."""
-    rows = files.select("file", "size", F.posexplode(bib_entries("content")).alias("ordinal", "e"))
+    """(file, size, ordinal, key, type, title, authors, year, venue, raw) of (file, size, content); a paper_id stays."""
+    own = ["paper_id"] if "paper_id" in files.columns else []
+    rows = files.select(*own, "file", "size", F.posexplode(bib_entries("content")).alias("ordinal", "e"))
 
     def field(name: str):
         value = F.regexp_replace(F.regexp_replace(F.try_element_at("e.fields", F.lit(name)), r"\\[A-Za-z]+\s*|[{}]", ""), r"[.,\s]+$", "")
         return F.nullif(F.regexp_replace(value, r"\s+", " "), F.lit(""))
 
-    return rows.select("file", "size", "ordinal", "e.key", "e.type", "e.title", "e.authors", field("year").alias("year"), F.coalesce(*map(field, VENUE)).alias("venue"), "e.raw")
+    return rows.select(*own, "file", "size", "ordinal", "e.key", "e.type", "e.title", "e.authors", field("year").alias("year"), F.coalesce(*map(field, VENUE)).alias("venue"), "e.raw")

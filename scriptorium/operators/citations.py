@@ -17,14 +17,19 @@ def citations(marked: DataFrame) -> DataFrame:
     return each.groupBy("paper_id", "key").agg(F.sum("n").alias("count"), F.transform(spots, lambda s: s["section_id"]).alias("cited_in"), F.min_by("section_id", "order").alias("first_context"))
 
 
+def _keys(entries: DataFrame) -> list[str]:
+    return [c for c in ("paper_id", "key") if c in entries.columns]
+
+
 def largest_file_entries(entries: DataFrame) -> DataFrame:
-    """One entry for each key: the largest file wins, within a file the last entry."""
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("size"), "file", F.desc("ordinal")))
+    """One entry for each key (of each paper): the largest file wins, within a file the last entry."""
+    place = F.row_number().over(Window.partitionBy(*_keys(entries)).orderBy(F.desc("size"), "file", F.desc("ordinal")))
     return entries.withColumn("place", place).where("place = 1").drop("place")
 
 
 def resolve(cited: DataFrame, entries: DataFrame) -> DataFrame:
     """``cited`` with title, authors, year, venue and bib_raw; unresolved keys have nulls and no authors."""
-    needed = entries.join(cited.select("key").distinct(), "key", "left_semi")
-    best = largest_file_entries(needed).select("key", "title", "authors", "year", "venue", F.col("raw").alias("bib_raw"))
-    return cited.join(best, "key", "left").withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
+    keys = _keys(entries)
+    needed = entries.join(cited.select(*keys).distinct(), keys, "left_semi")
+    best = largest_file_entries(needed).select(*keys, "title", "authors", "year", "venue", F.col("raw").alias("bib_raw"))
+    return cited.join(best, keys, "left").withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))

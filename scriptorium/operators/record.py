@@ -56,7 +56,7 @@ def _kind(docs: DataFrame, sections: DataFrame, marked: DataFrame, name: str) ->
 def digest(docs: DataFrame, bib_files: DataFrame | None = None, landing: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
     """One record for each (paper_id, tex).
 
-    bib_files: (file, size, content).  landing: (paper_id, html), used for authors and dates
+    bib_files: (file, size, content), for all papers alike, or with a paper_id.  landing: (paper_id, html), used for authors and dates
     and where the text has no title or abstract.  Texts and marked sections are written
     once, as every part reads them.  All parts are keyed by paper_id; what a task gathers is
     one paper.
@@ -126,10 +126,11 @@ def fingerprint(records: DataFrame) -> DataFrame:
     )
 
 
-def paper_id_of(folder: Column) -> Column:
+def paper_id_of(folder: str) -> str:
     """The last part of a path that is no generic name."""
-    generic = ["arxiv-to-prompt", "source", "tex", "main"]
-    return F.element_at(F.filter(F.split(folder, "/"), lambda p: (p != "") & ~p.isin(generic)), -1)
+    generic = {"arxiv-to-prompt", "source", "tex", "main"}
+    parts = [p for p in folder.split("/") if p not in ("", ".")]
+    return next((p for p in reversed(parts) if p not in generic), parts[-1] if parts else "paper")
 
 
 def bind_labels(tex: DataFrame, labels: DataFrame) -> DataFrame:

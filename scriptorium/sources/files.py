@@ -14,12 +14,13 @@ from scriptorium.functions import udfs
 from scriptorium.plans.session import ship
 
 
-def scan_trees(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(paper_id, path, size, content) of all files under ``root``; the first folder is the paper."""
+def scan_trees(spark: SparkSession, root: str, glob: str = "*", paper_id: str | None = None) -> DataFrame:
+    """(paper_id, path, size, content) of all files under ``root``; the first folder is the paper, unless it is given."""
     ship(spark)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     rest = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + _quoted("/" + root.split(":", 1)[-1].strip("/")) + "/", "")
-    return raw.select(F.substring_index(rest, "/", 1).alias("paper_id"), F.regexp_replace(rest, "^[^/]*/", "").alias("path"), F.col("length").alias("size"), "content")
+    paper, path = (F.lit(paper_id), rest) if paper_id else (F.substring_index(rest, "/", 1), F.regexp_replace(rest, "^[^/]*/", ""))
+    return raw.select(paper.alias("paper_id"), path.alias("path"), F.col("length").alias("size"), "content")
 
 
 def _quoted(text: str) -> str:

@@ -52,7 +52,12 @@ def _line(doc: Column, line: Column, i: Column) -> Column:
 
 def latex(spark: SparkSession, folder: str) -> DataFrame:
     """(paper_id string, tex string): one paper for each document with a text."""
-    docs = table(spark, folder, "documents").where("text is not null")
+    return paper_text(table(spark, folder, "documents"))
+
+
+def paper_text(docs: DataFrame) -> DataFrame:
+    """The same for any (doc_id, text)."""
+    docs = docs.where("text is not null")
     doc = F.col("doc_id").cast("string")
     return docs.select(doc.alias("paper_id"), F.array_join(F.transform(F.split("text", "\n"), lambda x, i: _line(doc, x, i)), "\n").alias("tex"))
 
