@@ -27,7 +27,7 @@ def sections_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(TREE + """ SELECT paper_id, section_id, CAST(level AS BIGINT) AS level, CAST(n AS BIGINT) AS ordinal FROM sec""")
 def section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = S.section_tree(S.headings(latex(spark, sf_dir)))
+    t = S.section_tree(latex(spark, sf_dir))
     return t.select("paper_id", "section_id", F.col("level").cast("long").alias("level"), F.col("ordinal").cast("long").alias("ordinal"))
 
 

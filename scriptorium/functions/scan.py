@@ -2,25 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_BLOCK = 256
+
+
+def running(lengths: Column) -> Column:
+    """Sums of the elements up to and with each element, in blocks, so that long arrays stay cheap."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")), lambda b: F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)))
+    zero = F.array(F.lit(0))
+
+    def grow(a: Column, x: Column) -> Column:
+        return F.concat(a, F.array(F.element_at(a, -1) + x))
+
+    starts = F.aggregate(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)), zero, grow)
+    sums = F.transform(blocks, lambda b: F.aggregate(b, zero, grow))
+    return F.flatten(F.zip_with(sums, F.slice(starts, 1, F.size(starts) - 1), lambda b, s: F.transform(F.slice(b, 2, F.size(b) - 1), lambda x: x + s)))
+
+
+def located(df: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
+    """``df`` with ``out``: struct(start, end, match) of each match in order, in code points from 0; no shuffle."""
+    some = F.size("_m") > 0
+    found = df.withColumn("_m", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    found = found.withColumn("_g", F.when(some, F.transform(F.split(text, pattern, -1), F.length)))
+    found = found.withColumn("_s", F.when(some, F.zip_with(F.slice("_g", 1, F.size("_m")), "_m", lambda g, m: g + F.length(m))))
+    found = found.withColumn("_e", F.when(some, running(F.col("_s"))))
+    spans = F.zip_with("_e", "_m", lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("match")))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
+    return found.withColumn(out, F.when(some, spans).otherwise(none)).drop("_m", "_g", "_s", "_e")
+
 
 def occurrences(docs: DataFrame, pattern: str, groups: dict[str, int] | None = None, key: str = "paper_id", text: str = "tex") -> DataFrame:
     """(key, ordinal, start, end, match, groups...) of each match, in code points from 0.
 
-    Pieces and matches are exploded together and their lengths summed by a window, so a
-    document with many matches costs no more than linear work.
+    Groups are taken from the match, not from the text, so a pattern must not look beyond
+    what it matches.
     """
-    groups = groups or {}
-    wide = docs.select(key, F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), *(F.regexp_extract_all(text, F.lit(pattern), F.lit(n)).alias(f"_{name}") for name, n in groups.items()))
-    some = wide.where(F.size("m") > 0).withColumn("g", F.slice("g", 1, F.size("m")))
-    zipped = F.arrays_zip("g", "m", *(f"_{n}" for n in groups))
-    rows = some.select(key, F.posexplode(zipped).alias("ordinal", "x"))
-    upto = Window.partitionBy(key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("x.g") + F.length("x.m")).over(upto)
-    out = rows.withColumn("end", end)
-    return out.select(key, "ordinal", (F.col("end") - F.length("x.m")).alias("start"), "end", F.col("x.m").alias("match"), *(F.col(f"x._{n}").alias(n) for n in groups))
+    # Outer, as for an inner explode the optimizer adds a filter on the array's size, which
+    # it would push below and so compute all of ``located`` twice.
+    found = located(docs.select(key, text), text, pattern, "_spans").select(key, F.posexplode_outer("_spans").alias("ordinal", "x")).where("ordinal is not null")
+    taken = [F.regexp_extract("x.match", pattern, n).alias(name) for name, n in (groups or {}).items()]
+    return found.select(key, "ordinal", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.match").alias("match"), *taken)
 
 
 def braces(docs: DataFrame, key: str = "paper_id", text: str = "tex") -> DataFrame:

@@ -97,5 +97,8 @@ _INLINE = [
 
 
 def inline_clean(c: Column) -> Column:
-    """Titles and captions: wrappers, labels, breaks, colours and markup off, markers kept."""
-    return strip(fold(c, _INLINE))
+    """Titles and captions: wrappers, labels, breaks, colours and markup off, markers kept.
+
+    A text without any character of markup takes the short way.
+    """
+    return F.when(c.rlike(r"[\\{}~&]"), strip(fold(c, _INLINE))).otherwise(strip(F.regexp_replace(c, r"\s++", " ")))

@@ -2,72 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.scan import occurrences
+from scriptorium.functions.scan import located
 from scriptorium.functions.text import inline_clean
 
 _ARG = r"\{((?:[^{}\\]|\\.|\{(?:[^{}\\]|\\.|\{[^{}]*+\})*+\})*+)\}"
 HEADING = r"(?s)\\((?:sub){0,2}section)\*?\s*+(?:\[[^\]]*+\])?" + _ARG
 APPENDIX = r"(?m)^[ \t]*+\\(?:appendix|appendices)\b(?!\s*\{)|^[ \t]*+\\begin\{appendi(?:x|ces)\}"
 #: Titles that templates leave behind.
-POLLUTION = r"(?i)^(?:#\d|\\?@|\\the)"
+POLLUTION = r"\\@|@mkboth|@startsection"
 
 
-def headings(docs: DataFrame) -> DataFrame:
-    """(paper_id, start, end_heading, level, title) of headings, also with a short title or a star."""
-    found = occurrences(docs, HEADING, {"command": 1, "raw": 2})
-    level = F.when(F.col("command") == "section", 0).when(F.col("command") == "subsection", 1).otherwise(2)
-    return found.where(~F.col("raw").rlike(POLLUTION)).select("paper_id", "start", F.col("end").alias("end_heading"), level.alias("level"), inline_clean(F.col("raw")).alias("title"))
+_NODE = "struct<start:int,end_heading:int,level:int,title:string,ordinal:int,section_id:string,parent_id:string>"
+_OPEN = "struct<id:string,start:int,n:int>"
 
 
-def section_tree(heads: DataFrame) -> DataFrame:
-    """``heads`` with parent (its start), ordinal among siblings, order, section_id and parent_id.
+def _headings(found: str) -> Column:
+    """Accepted headings of ``located`` matches; also with a short title or a star."""
+    raw = F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end_heading"), F.regexp_extract(m["match"], HEADING, 1).alias("command"), F.regexp_extract(m["match"], HEADING, 2).alias("raw")))
+    level = lambda c: F.when(c == "section", 0).when(c == "subsection", 1).otherwise(2)
+    kept = F.filter(raw, lambda h: ~h["raw"].rlike(POLLUTION))
+    return F.transform(kept, lambda h: F.struct(h["start"].alias("start"), h["end_heading"].alias("end_heading"), level(h["command"]).alias("level"), inline_clean(h["raw"]).alias("title")))
+
+
+def _tree(heads: str) -> Column:
+    """One walk over a paper's headings: each takes the next number below its parent.
 
     The parent of a subsection is the last section before it, that of a subsubsection the
-    later of the last section and the last subsection.
+    later of the last section and the last subsection.  The walk remembers these two.
     """
-    paper = Window.partitionBy("paper_id").orderBy("start")
-    before = paper.rowsBetween(Window.unboundedPreceding, -1)
-
-    def last(level: int) -> Column:
-        return F.max(F.when(F.col("level") == level, F.col("start"))).over(before)
-
-    parent = F.when(F.col("level") == 1, F.col("l0")).when(F.col("level") == 2, F.greatest("l0", "l1"))
-    tree = heads.withColumn("l0", last(0)).withColumn("l1", last(1)).withColumn("parent", parent)
-    tree = tree.withColumn("ordinal", F.row_number().over(Window.partitionBy("paper_id", "parent").orderBy("start")))
-    tree = tree.withColumn("order", F.row_number().over(paper) - 1)
-    # Ancestors are at most two steps away; both are met again by start in the same paper.
-    one = tree.select("paper_id", F.col("start").alias("parent"), F.col("ordinal").alias("up_ordinal_1"), F.col("parent").alias("up"))
-    two = tree.select("paper_id", F.col("start").alias("up"), F.col("ordinal").alias("up_ordinal_2"))
-    joined = tree.join(one, ["paper_id", "parent"], "left").join(two, ["paper_id", "up"], "left")
-    prefix = F.concat_ws(".", "up_ordinal_2", "up_ordinal_1")
-    return joined.select(
-        "paper_id", "start", "end_heading", "level", "title", "parent", "ordinal", "order",
-        F.concat(F.lit("sec:"), F.concat_ws(".", "up_ordinal_2", "up_ordinal_1", "ordinal")).alias("section_id"),
-        F.when(F.col("parent").isNotNull(), F.concat(F.lit("sec:"), prefix)).alias("parent_id"),
-    )
+    closed = F.lit(None).cast(_OPEN)
+    start = F.struct(F.expr(f"cast(array() as array<{_NODE}>)").alias("out"), F.lit(0).alias("roots"), closed.alias("section"), closed.alias("sub"))
+
+    def step(a: Column, h: Column) -> Column:
+        section, sub, level = a["section"], a["sub"], h["level"]
+        below_sub = (level == 2) & sub["start"].isNotNull() & (section["start"].isNull() | (sub["start"] > F.coalesce(section["start"], F.lit(-1))))
+        below_section = (level > 0) & ~below_sub & section["start"].isNotNull()
+        parent = F.when(below_sub, sub["id"]).when(below_section, section["id"])
+        ordinal = F.when(below_sub, sub["n"]).when(below_section, section["n"]).otherwise(a["roots"]) + 1
+        name = F.concat(F.coalesce(F.concat(parent, F.lit(".")), F.lit("sec:")), ordinal)
+        node = F.struct(h["start"].alias("start"), h["end_heading"].alias("end_heading"), level.alias("level"), h["title"].alias("title"), ordinal.alias("ordinal"), name.alias("section_id"), parent.alias("parent_id"))
+        fresh = F.struct(name.alias("id"), h["start"].alias("start"), F.lit(0).alias("n")).cast(_OPEN)
+        more = lambda s: F.struct(s["id"].alias("id"), s["start"].alias("start"), (s["n"] + 1).alias("n")).cast(_OPEN)
+        return F.struct(
+            F.concat(a["out"], F.array(node.cast(_NODE))).alias("out"), (a["roots"] + F.when(below_sub | below_section, 0).otherwise(1)).alias("roots"),
+            F.when(level == 0, fresh).when(below_section, more(section)).otherwise(section).alias("section"),
+            F.when(level == 1, fresh).when(below_sub, more(sub)).otherwise(sub).alias("sub"),
+        )
+
+    return F.aggregate(heads, start, step, lambda a: a["out"])
+
+
+def outlined(docs: DataFrame) -> DataFrame:
+    """``docs`` with tree, an array of sections, and appendix, where the appendix begins (null without one).
+
+    The appendix begins at the first switch or at the first level-0 title that starts with
+    Appendix.  All within the row: no text is shuffled.
+    """
+    out = located(docs, "tex", HEADING, "_found").withColumn("_heads", _headings("_found")).withColumn("tree", _tree("_heads"))
+    switch = F.when(F.col("tex").rlike(APPENDIX), F.length(F.split("tex", APPENDIX, 2)[0]))
+    titled = F.get(F.filter("tree", lambda h: (h["level"] == 0) & h["title"].rlike("(?i)^appendi(x|ces)")), F.lit(0))["start"]
+    return out.withColumn("appendix", F.least(switch, titled)).drop("_found", "_heads")
 
 
-def appendix_start(docs: DataFrame, heads: DataFrame) -> DataFrame:
-    """(paper_id, appendix): the first switch or level-0 title that starts with Appendix."""
-    switches = occurrences(docs, APPENDIX).groupBy("paper_id").agg(F.min("start").alias("appendix"))
-    titles = heads.where((F.col("level") == 0) & F.col("title").rlike("(?i)^appendi(x|ces)")).groupBy("paper_id").agg(F.min("start").alias("appendix"))
-    return switches.unionByName(titles).groupBy("paper_id").agg(F.min("appendix").alias("appendix"))
+def section_tree(docs: DataFrame) -> DataFrame:
+    """(paper_id, order, start, end_heading, level, title, ordinal, section_id, parent_id) of all headings."""
+    return outlined(docs).select("paper_id", F.posexplode("tree").alias("order", "h")).select("paper_id", "order", "h.*")
 
 
 def sections(docs: DataFrame) -> DataFrame:
     """The tree with is_appendix, the place where the slice ends (next heading or text end) and the raw slice."""
-    heads = headings(docs)
-    tree = section_tree(heads)
-    after = F.lead("start").over(Window.partitionBy("paper_id").orderBy("start"))
-    out = tree.withColumn("next", after).join(appendix_start(docs, heads), "paper_id", "left").join(docs, "paper_id")
-    stop = F.coalesce("next", F.length("tex"))
+    nodes = outlined(docs).withColumn("_length", F.length("tex"))
+
+    def cut(h: Column, i: Column) -> Column:
+        stop = F.coalesce(F.get("tree", i + 1)["start"], F.col("_length"))
+        return F.struct(h.alias("h"), i.alias("order"), stop.alias("stop"), F.substring("tex", h["end_heading"] + 1, stop - h["end_heading"]).alias("raw"))
+
+    out = nodes.select("paper_id", "appendix", F.explode(F.transform("tree", cut)).alias("s"))
     return out.select(
-        "paper_id", "section_id", "parent_id", "title", "level", "ordinal", "order", "start", stop.alias("stop"),
-        F.coalesce(F.col("start") >= F.col("appendix"), F.lit(False)).alias("is_appendix"),
-        F.substring("tex", F.col("end_heading") + 1, stop - F.col("end_heading")).alias("raw"),
+        "paper_id", "s.h.section_id", "s.h.parent_id", "s.h.title", "s.h.level", "s.h.ordinal", F.col("s.order").alias("order"), F.col("s.h.start").alias("start"), F.col("s.stop").alias("stop"),
+        F.coalesce(F.col("s.h.start") >= F.col("appendix"), F.lit(False)).alias("is_appendix"), F.col("s.raw").alias("raw"),
     )
 
 

@@ -57,9 +57,10 @@ def latex(spark: SparkSession, folder: str) -> DataFrame:
 
 def paper_text(docs: DataFrame) -> DataFrame:
     """The same for any (doc_id, text)."""
-    docs = docs.where("text is not null")
-    doc = F.col("doc_id").cast("string")
-    return docs.select(doc.alias("paper_id"), F.array_join(F.transform(F.split("text", "\n"), lambda x, i: _line(doc, x, i)), "\n").alias("tex"))
+    # Dealt by paper once: windows and joins on paper_id then need no exchange of their own.
+    docs = docs.where("text is not null").select(F.col("doc_id").cast("string").alias("paper_id"), "text").repartition("paper_id")
+    doc = F.col("paper_id")
+    return docs.select("paper_id", F.array_join(F.transform(F.split("text", "\n"), lambda x, i: _line(doc, x, i)), "\n").alias("tex"))
 
 
 def bibliography(spark: SparkSession, keys: int = 80) -> DataFrame:
