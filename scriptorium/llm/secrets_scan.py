@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.scan import running
 from scriptorium.plans.scratch import Scratch
 
 #: Kind -> (pattern, group that holds the value, least length of that group), in the order of the kinds.
@@ -25,22 +26,15 @@ KINDS = {
 BASE = ("assign", "access", "hex")
 #: From so many owners on a value is a copied example.
 EXAMPLE_OWNERS = 3
-_BLOCK = 256
 
 
-def _running(lengths: Column) -> Column:
-    """Sums of the elements before each element, in blocks, so that long arrays stay cheap."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")), lambda b: F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)))
-    zero = F.array(F.lit(0))
+def may_hold(text: Column) -> Column:
+    """Whether a text can have any candidate: each is an assignment or a run of 20 token characters.
 
-    def grow(a: Column, x: Column) -> Column:
-        return F.concat(a, F.array(F.element_at(a, -1) + x))
-
-    def inner(b: Column) -> Column:
-        return F.aggregate(b, zero, grow)
-
-    starts = F.aggregate(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)), zero, grow)
-    return F.flatten(F.zip_with(F.transform(blocks, inner), F.slice(starts, 1, F.size(starts) - 1), lambda b, s: F.transform(F.slice(b, 1, F.size(b) - 1), lambda x: x + s)))
+    Access keys and hex strings are such runs, so this never misses one.
+    """
+    assigned = (text.contains(":") | text.contains("=")) & text.rlike(KINDS["assign"][0])
+    return assigned | text.rlike(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20}")
 
 
 def with_matches(df: DataFrame, text: str, kind: str) -> DataFrame:
@@ -58,9 +52,9 @@ def with_matches(df: DataFrame, text: str, kind: str) -> DataFrame:
     # Lengths of what is between matches and of the matches, in turn.
     both = F.flatten(F.zip_with(F.slice(F.col(rest), 1, F.size(found)), F.col(found), lambda g, m: F.array(F.length(g), F.length(m))))
     out = out.withColumn(f"_{kind}_both", F.when(some, both))
-    out = out.withColumn(f"_{kind}_sums", F.when(some, _running(F.col(f"_{kind}_both"))))
+    out = out.withColumn(f"_{kind}_sums", F.when(some, running(F.col(f"_{kind}_both"))))
     spans = F.transform(F.col(found), lambda m, i: F.struct(
-        F.element_at(f"_{kind}_sums", 2 * i + 2).alias("start"), (F.element_at(f"_{kind}_sums", 2 * i + 2) + F.length(m)).alias("end"), F.element_at(value, i + 1).alias("value")))
+        F.element_at(f"_{kind}_sums", 2 * i + 1).alias("start"), F.element_at(f"_{kind}_sums", 2 * i + 2).alias("end"), F.element_at(value, i + 1).alias("value")))
     kept = F.filter(spans, lambda s: F.length(s["value"]) >= least)
     nothing = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
     out = out.withColumn(kind, F.coalesce(F.when(some, kept), nothing))
@@ -84,11 +78,14 @@ def joined(spans: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str | None, repo_col: str | None) -> DataFrame:
-    """(id, text_key, owner, repo, base, tokens): spans with value hashes; no texts."""
+    """(id, text_key, owner, repo, base, tokens) of rows that may have a candidate: spans with value hashes; no texts.
+
+    Rows without one are told by two searches; the spans of the others are few.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     owner = F.col(owner_col).cast("string") if owner_col else F.lit(None).cast("string")
     repo = F.col(repo_col or id_col).cast("string")
-    out = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), owner.alias("owner"), repo.alias("repo"), text.alias("text"))
+    out = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), owner.alias("owner"), repo.alias("repo"), text.alias("text")).where(may_hold(text))
     for kind in KINDS:
         out = with_matches(out, "text", kind)
     # A token mixes lower case, upper case and digits, and no base span covers part of it.
@@ -119,8 +116,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     """
     found = candidates(docs, id_col, text_col, owner_col, repo_col)
     key = ["id", "text_key"]
-    # Only rows with a candidate take part; each (id, text) once.  Texts are searched in this one pass.
-    some = Scratch(docs.sparkSession, "secrets").keep(found.where(F.size("base") + F.size("tokens") > 0), "candidates")
+    # Texts are searched in this one pass.  A filter on the spans would be pushed below them and search again.
+    some = Scratch(docs.sparkSession, "secrets").keep(found, "candidates")
     spans = some.select(*key, F.explode(F.concat("base", "tokens")).alias("s")).select(*key, "s.*").distinct()
     known = spans.join(ownership(some), "hash")
     kept = known.where((F.col("kind") != "token") | (F.col("owners") < EXAMPLE_OWNERS))
