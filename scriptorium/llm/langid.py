@@ -140,7 +140,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = shared.value
         for batch in batches:
-            column = batch.column("_text")
+            column = batch.column("rest").field(text_col).cast(pa.string())
             raw = [b or b"" for b in column.cast(pa.binary()).to_pylist()]
             names, scores = [], []
             for at, texts in chunks(list(range(len(raw))), raw):
@@ -153,10 +153,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                         i = int(table[k].argmax())
                         names.append(own.languages[i])
                         scores.append(float(table[k, i]))
-            kept = [c for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["rest", "lang_pred", "score"])
 
-    source = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"), F.col(text_col).cast("string").alias("_text"))
+    # The text is a field of the row and so sent once.
+    source = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"))
     out = source.mapInArrow(run, f"rest {source.schema['rest'].dataType.simpleString()}, lang_pred string, score double")
     return out.select(*(F.col(f"rest.`{c}`").alias(c) for c in others), "lang_pred", "score")
 
