@@ -8,6 +8,7 @@ rows at any input size and is the one thing that reaches the driver.
 1. Index sums of one, two and three available lengths.  A gap that such a sum fills
    exactly is closed by that combination, as often as the counts allow.
 2. What is left goes best-fit decreasing, again for whole length classes at a time.
+   Three orders of these steps are tried on the histogram; the one of fewest sequences counts.
 
 Every step uses up a length class or leaves less than one more use of it, which
 bounds the number of distinct fillings, and so the broadcast table, by a multiple
@@ -136,7 +137,19 @@ def _complement(counts: Counter, lengths: list[int], gap: int) -> tuple[int, ...
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, number of such sequences) that use every piece once."""
+    """(lengths of a sequence, number of such sequences) that use every piece once.
+
+    Exact complements for all pieces before any residual waste no room, but may use up the
+    short pieces that long ones without a complement would have taken.  So residuals are also
+    tried at once for each length, and for all lengths by best fit alone; the plan of fewest
+    sequences counts, of equals the first.
+    """
+    plans = [_planned(histogram, capacity, exact, at_once) for exact, at_once in ((True, False), (True, True), (False, True))]
+    return min(plans, key=lambda p: sum(times for _, times in p))
+
+
+def _planned(histogram: dict[int, int], capacity: int, exact: bool, at_once: bool) -> list[tuple[tuple[int, ...], int]]:
+    """exact: whether complements of two and three pieces are used.  at_once: residuals in turn with them."""
     counts = Counter({int(k): int(v) for k, v in histogram.items() if v})
     if counts and (min(counts) < 1 or max(counts) > capacity):
         raise ValueError("lengths must be from 1 to the capacity")
@@ -153,34 +166,44 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
                 lengths.remove(k)
         fillings.append((filling, times))
 
-    if counts[capacity]:
-        use((capacity,))
-    # Exact complements, longest pieces first: they have the fewest partners.
-    for length in sorted(counts, reverse=True):
-        while counts[length]:
-            counts[length] -= 1
-            if not counts[length]:
-                lengths.remove(length)
-            found = _complement(counts, lengths, capacity - length)
-            counts[length] += 1
-            if counts[length] == 1:
-                lengths.insert(bisect_right(lengths, length), length)
-            if not found:
-                break
-            use((length, *found))
-    # Residuals: each filling grows by the longest length that fits, then repeats.
-    while lengths:
+    def complement(length: int) -> tuple[int, ...] | None:
+        counts[length] -= 1
+        if not counts[length]:
+            lengths.remove(length)
+        found = _complement(counts, lengths, capacity - length)
+        counts[length] += 1
+        if counts[length] == 1:
+            lengths.insert(bisect_right(lengths, length), length)
+        return found
+
+    def residual() -> None:
+        """The longest piece with the longest that fit, as often as there are such."""
         filling, room, left = [], capacity, counts.copy()
         while room:
             fit = next((x for x in reversed(lengths[: bisect_right(lengths, room)]) if left[x]), None)
             if fit is None:
                 break
-            closing = _complement(left, [x for x in lengths if left[x]], room) if filling else None
+            closing = _complement(left, [x for x in lengths if left[x]], room) if exact and filling else None
             for x in closing or (fit,):
                 filling.append(x)
                 left[x] -= 1
                 room -= x
         use(tuple(filling))
+
+    if counts[capacity]:
+        use((capacity,))
+    # Exact complements, longest pieces first: they have the fewest partners.
+    for length in sorted(counts, reverse=True) if exact else ():
+        while counts[length]:
+            found = complement(length)
+            if found:
+                use((length, *found))
+            elif at_once:
+                residual()
+            else:
+                break
+    while lengths:
+        residual()
     return fillings
 
 
