@@ -3,6 +3,7 @@
 Patterns find candidates with their places.  The value of each candidate is hashed, and
 the hashes are aggregated over the corpus by distinct repositories and owners: a value
 that several owners have is a copied example, one that a single owner has looks live.
+Repositories take part where the rows name theirs and the caller says how many make an example.
 Tokens that no keyword announces are candidates as well; those that look random and
 belong to few owners are added to the findings, never taken from them.
 """
@@ -107,21 +108,26 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.join(repos, "hash")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_col: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_col: str | None = None, example_repos: int | None = None) -> DataFrame:
     """(id, text_key, base, added, live): spans of each row and how many of them look live.
 
-    base holds every base finding; added holds tokens of fewer than ``EXAMPLE_OWNERS``
-    owners.  Each span is struct(start, place, end, kind, hash, owners).  One row for each
-    row of ``docs``; null and empty texts have no spans.
+    A value looks live that has fewer than ``EXAMPLE_OWNERS`` owners and, where it is given,
+    fewer than ``example_repos`` repositories.  base holds every base finding; added holds
+    tokens that look live.  Each span is struct(start, place, end, kind, hash, owners, repos, live).
+    One row for each row of ``docs``; null and empty texts have no spans.
     """
+    if example_repos is not None and repo_col is None:
+        raise ValueError("example_repos needs repo_col: an id is no repository")
     found = candidates(docs, id_col, text_col, owner_col, repo_col)
     key = ["id", "text_key"]
     # Texts are searched in this one pass.  A filter on the spans would be pushed below them and search again.
     some = Scratch(docs.sparkSession, "secrets").keep(found, "candidates")
     spans = some.select(*key, F.explode(F.concat("base", "tokens")).alias("s")).select(*key, "s.*").distinct()
-    known = spans.join(ownership(some), "hash")
-    kept = known.where((F.col("kind") != "token") | (F.col("owners") < EXAMPLE_OWNERS))
-    grouped = kept.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "place", "end", "kind", "hash", "owners"))).alias("all"))
+    few = F.col("owners") < EXAMPLE_OWNERS
+    few = few if example_repos is None else few & (F.col("repos") < example_repos)
+    known = spans.join(ownership(some), "hash").withColumn("live", few)
+    kept = known.where((F.col("kind") != "token") | F.col("live"))
+    grouped = kept.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "place", "end", "kind", "hash", "owners", "repos", "live"))).alias("all"))
     kind = grouped.schema["all"].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"))
     same = (rows["id"].eqNullSafe(grouped["id"])) & (rows["text_key"] == grouped["text_key"])
@@ -129,7 +135,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     return out.select(
         "id", "text_key",
         F.filter("all", lambda s: s["kind"] != "token").alias("base"), F.filter("all", lambda s: s["kind"] == "token").alias("added"),
-        F.size(F.filter("all", lambda s: s["owners"] < EXAMPLE_OWNERS)).cast("long").alias("live"),
+        F.size(F.filter("all", lambda s: s["live"])).cast("long").alias("live"),
     )
 
 
@@ -143,14 +149,14 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return scanned.select(F.col("id").alias(id_col), *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"), "live")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", mark: str = "[secret]", repo_col: str | None = None, example_repos: int | None = None) -> DataFrame:
     """``docs`` with the spans of live-looking findings replaced by ``mark``; all rows and columns stay.
 
     Values of copied examples stay, as nothing is lost by showing them.  Overlapping spans
     are cut as one.
     """
-    found = scan(docs, id_col, text_col, owner_col)
-    live = found.select("id", "text_key", F.filter(F.concat("base", "added"), lambda s: s["owners"] < EXAMPLE_OWNERS).alias("cuts")).where(F.size("cuts") > 0).dropDuplicates(["id", "text_key"])
+    found = scan(docs, id_col, text_col, owner_col, repo_col, example_repos)
+    live = found.select("id", "text_key", F.filter(F.concat("base", "added"), lambda s: s["live"]).alias("cuts")).where(F.size("cuts") > 0).dropDuplicates(["id", "text_key"])
     out = docs.withColumn("_key", F.xxhash64(text_col)).join(live, (F.col("_key") == live["text_key"]) & F.col(id_col).eqNullSafe(live["id"]), "left")
     # Text between the cuts, in order: (text so far, place reached).
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))
