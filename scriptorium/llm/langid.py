@@ -96,12 +96,31 @@ class Model:
         return np.clip(out / np.maximum(total, 1)[:, None], 0, 1)
 
 
+def _share(counts: list[int], most: int) -> float:
+    """The bound on a label's rows under which all labels together keep ``most``, at least 1."""
+    left, bound = most, 0.0
+    for i, n in enumerate(ordered := sorted(counts)):
+        bound = left / (len(ordered) - i)
+        if n > bound:
+            break
+        left -= n
+    return max(bound, 1.0)
+
+
 def train(labelled: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from rows with a label; above ``sample_rows`` a sample by the id's hash is read."""
+    """A model from rows with a label; above ``sample_rows`` a sample by the id's hash within each label is read.
+
+    Labels with few rows are read whole, the others share what is left of the bound.
+    """
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    count = rows.select(label_col).count()
-    if count > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int((1 << 30) * sample_rows / count))
+    label = F.col(label_col).cast("string")
+    count = {r["lang"]: r["count"] for r in rows.groupBy(label.alias("lang")).count().collect()}
+    if sum(count.values()) > sample_rows:
+        share = _share(list(count.values()), sample_rows)
+        below = {name: int((1 << 30) * share / n) for name, n in count.items() if n > share}
+        # A label that isn't here is read whole.
+        limits = F.create_map(*(F.lit(x) for item in below.items() for x in item)) if below else F.lit(None).cast("map<string,bigint>")
+        rows = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < F.coalesce(F.element_at(limits, label), F.lit(1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
