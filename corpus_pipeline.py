@@ -28,8 +28,14 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; the model learns from this stage's own labelled documents."""
-    known = langid.identify(docs)
+    """Documents with a language; the model learns from this stage's own labelled documents.
+
+    Where it learns no language, only texts that are null or have no letter go.
+    """
+    model = langid.train(docs.where(~langid.held_out()))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    known = langid.predict(docs, model)
     return known.where(F.col("lang_pred") != langid.UNDETERMINED).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
