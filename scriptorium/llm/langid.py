@@ -154,12 +154,13 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     ``und`` with score 0.  All columns stay; lang_pred and score would be replaced.
     """
     others = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    place = f"c{others.index(text_col)}"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = shared.value
         for batch in batches:
-            column = batch.column("rest").field(text_col).cast(pa.string())
+            column = batch.column("rest").field(place).cast(pa.string())
             raw = [b or b"" for b in column.cast(pa.binary()).to_pylist()]
             names, scores = [], []
             for at, texts in chunks(list(range(len(raw))), raw):
@@ -175,9 +176,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["rest", "lang_pred", "score"])
 
     # The text is a field of the row and so sent once.
-    source = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"))
+    source = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("rest"))
     out = source.mapInArrow(run, f"rest {source.schema['rest'].dataType.simpleString()}, lang_pred string, score double")
-    return out.select(*(F.col(f"rest.`{c}`").alias(c) for c in others), "lang_pred", "score")
+    return out.select(*(F.col(f"rest.c{i}").alias(c) for i, c in enumerate(others)), "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -186,6 +187,6 @@ def held_out(id_col: str = "doc_id"):
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Train on the rows that aren't held out and predict all; adds held_out, lang_pred, score."""
+    """Train on the rows that aren't held out and predict all; adds held_out, lang_pred and score, in place of columns of these names."""
     model = train(docs.where(~held_out(id_col)), label_col, text_col, id_col, sample_rows)
     return predict(docs.withColumn("held_out", held_out(id_col)), model, text_col)

@@ -63,9 +63,9 @@ FROM k LEFT JOIN fit ON k.page_id = fit.page_id LEFT JOIN listed ON k.key = list
 
 
 def _spans(kind: str, place: int, pattern: str, group: int, least: int) -> str:
-    """SELECT of (doc_id, owner, kind, place, start, stop, value) for one kind."""
+    """SELECT of (doc_id, owner, repo, kind, place, start, stop, value) for one kind."""
     p = "'" + pattern.replace("'", "''") + "'"
-    return f"""SELECT doc_id, owner, '{kind}' AS kind, {place} AS place, start, start + length(m[i]) AS stop, v[i] AS value FROM (
+    return f"""SELECT doc_id, owner, repo, '{kind}' AS kind, {place} AS place, start, start + length(m[i]) AS stop, v[i] AS value FROM (
       SELECT *, coalesce(list_sum(list_transform(g[1 : i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0) AS start
       FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
         SELECT doc_id, owner, string_split_regex(text, {p}) AS g, regexp_extract_all(text, {p}) AS m, regexp_extract_all(text, {p}, {group}) AS v FROM d)))
@@ -74,7 +74,7 @@ def _spans(kind: str, place: int, pattern: str, group: int, least: int) -> str:
 
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 SECRETS = f"""
-WITH d AS (SELECT doc_id, coalesce(source, 'repo:' || CAST(doc_id AS VARCHAR)) AS owner, coalesce(text, '') AS text FROM documents
+WITH d AS (SELECT doc_id, coalesce(source, 'repo:text:' || sha256(coalesce(text, ''))) AS owner, sha256(coalesce(text, '')) AS repo, coalesce(text, '') AS text FROM documents
 ), base AS MATERIALIZED ({_spans("assign", 0, _ASSIGN, 1, 6)}
   UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", 0, 20)} UNION ALL {_spans("hex", 2, "[0-9a-f]{24,}", 0, 24)}
 ), tok AS MATERIALIZED ({_spans("token", 3, "[A-Za-z0-9_-]{20,}", 0, 20)}
@@ -82,12 +82,12 @@ WITH d AS (SELECT doc_id, coalesce(source, 'repo:' || CAST(doc_id AS VARCHAR)) A
   SELECT * FROM tok t WHERE regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = t.doc_id AND b.start < t.stop AND t.start < b.stop)
 ), every AS (SELECT * FROM base UNION ALL SELECT * FROM free
-), own AS (SELECT value, count(DISTINCT owner) AS owners FROM every GROUP BY 1
+), own AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT owner) < 3 AND count(DISTINCT repo) < 20 AS lives FROM every GROUP BY 1
 ), kept AS (
-  SELECT e.*, owners, kind || ':' || CAST(start AS VARCHAR) || ':' || CAST(stop AS VARCHAR) AS span FROM every e JOIN own USING (value) WHERE kind <> 'token' OR owners < 3
+  SELECT e.*, lives, kind || ':' || CAST(start AS VARCHAR) || ':' || CAST(stop AS VARCHAR) AS span FROM every e JOIN own USING (value) WHERE kind <> 'token' OR lives
 ), agg AS (
   SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
-    count(*) FILTER (kind = 'token') AS n_added, count(*) FILTER (owners < 3) AS live,
+    count(*) FILTER (kind = 'token') AS n_added, count(*) FILTER (lives) AS live,
     string_agg(span, ',' ORDER BY start, place) FILTER (kind <> 'token') AS base, string_agg(span, ',' ORDER BY start, place) AS spans FROM kept GROUP BY 1
 )
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_added, 0) AS n_added, coalesce(live, 0) AS live,

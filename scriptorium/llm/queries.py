@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import byte_bpe, cover_tree, hnsw, langid, minhash, packing, recompress, secrets_scan, sharding, url_filter
-from scriptorium.llm.oracles import ORACLES
+from scriptorium.llm.oracles import ORACLES  # noqa: F401  registered with the queries
 from scriptorium.sources.tables import table
 
 
@@ -82,12 +82,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_recompression": op10_recompression,
 }
 
-
-__all__ = ["ORACLES", "QUERIES", "registered"]
-
-
-def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """All queries, with the pipeline that is built from them."""
-    import corpus_pipeline
-
-    return QUERIES | {"pipeline": corpus_pipeline.run}

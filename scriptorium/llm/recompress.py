@@ -267,7 +267,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     others = [c for c in docs.columns if c not in (id_col, text_col, "n_words", "n_removed", "kept")]
     base = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("text_key"),
-        *([F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest")] if others else []),
+        *([F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("rest")] if others else []),
     )
     scratch = scratch or Scratch(docs.sparkSession, "recompress")
     key = ["doc_id", "text_key"]
@@ -291,5 +291,5 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     joined = base.join(ranges, key, "left")
     extra = f", rest {base.schema['rest'].dataType.simpleString()}" if others else ""
     cut = _cut(joined.select("doc_id", "text", *(["rest"] if others else []), "text_key", "ranges"), window, f"doc_id long, text string{extra}, n_words long, n_removed long, kept string")
-    restored = [F.col("doc_id").cast(docs.schema[id_col].dataType).alias(c) if c == id_col else F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c in (id_col, text_col, *others)]
+    restored = [F.col("doc_id").cast(docs.schema[id_col].dataType).alias(c) if c == id_col else F.col("text").alias(c) if c == text_col else F.col(f"rest.c{others.index(c)}").alias(c) for c in docs.columns if c in (id_col, text_col, *others)]
     return cut.select(*restored, "n_words", "n_removed", "kept")

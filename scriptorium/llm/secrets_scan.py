@@ -2,9 +2,9 @@
 
 Patterns find candidates with their places.  The value of each candidate is hashed, and
 the hashes are aggregated over the corpus by distinct repositories and owners: a value
-that several owners have is a copied example, one that a single owner has looks live.
-Repositories take part where the rows name theirs and the caller says how many make an example.
-Tokens that no keyword announces are candidates as well; those that look random and
+that several owners or many repositories have is a copied example, one that few of one
+owner's have looks live.  Where rows name no repository, a distinct text counts as one, so
+copies of a text are no evidence of an example.  Tokens that no keyword announces are candidates as well; those that look random and
 belong to few owners are added to the findings, never taken from them.
 """
 
@@ -25,8 +25,8 @@ KINDS = {
     "token": (r"[A-Za-z0-9_-]{20,}+", 0, 20),
 }
 BASE = ("assign", "access", "hex")
-#: From so many owners on a value is a copied example.
-EXAMPLE_OWNERS = 3
+#: From so many owners, or from so many repositories on, a value is a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 20
 
 
 def may_hold(text: Column) -> Column:
@@ -85,7 +85,8 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str | Non
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     owner = F.col(owner_col).cast("string") if owner_col else F.lit(None).cast("string")
-    repo = F.col(repo_col or id_col).cast("string")
+    repo = F.col(repo_col).cast("string") if repo_col else F.lit(None).cast("string")
+    repo = F.coalesce(repo, F.concat(F.lit("text:"), F.sha2(text, 256)))
     out = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), owner.alias("owner"), repo.alias("repo"), text.alias("text")).where(may_hold(text))
     for kind in KINDS:
         out = with_matches(out, "text", kind)
@@ -100,7 +101,8 @@ def ownership(found: DataFrame) -> DataFrame:
     """(hash, repos, owners): distinct repositories and owners of each candidate value.
 
     Counted by way of (hash, owner) and (hash, repo), so a value that a third of all rows
-    hold is summed in parts.  Rows without an owner count as owned by their repository.
+    hold is summed in parts.  Rows without an owner count as owned by their repository, rows
+    without a repository as one of their own text.
     """
     each = found.select(F.coalesce("owner", F.concat(F.lit("repo:"), "repo")).alias("owner"), "repo", F.explode(F.concat("base", "tokens")).alias("s")).select("owner", "repo", F.col("s.hash").alias("hash"))
     owners = each.groupBy("hash", "owner").agg(F.lit(1).alias("x")).groupBy("hash").agg(F.count("*").alias("owners"))
@@ -108,23 +110,20 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.join(repos, "hash")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_col: str | None = None, example_repos: int | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_col: str | None = None, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """(id, text_key, base, added, live): spans of each row and how many of them look live.
 
-    A value looks live that has fewer than ``EXAMPLE_OWNERS`` owners and, where it is given,
-    fewer than ``example_repos`` repositories.  base holds every base finding; added holds
-    tokens that look live.  Each span is struct(start, place, end, kind, hash, owners, repos, live).
+    A value looks live that has fewer than ``EXAMPLE_OWNERS`` owners and fewer than
+    ``example_repos`` repositories.  base holds every base finding; added holds tokens that
+    look live.  Each span is struct(start, place, end, kind, hash, owners, repos, live).
     One row for each row of ``docs``; null and empty texts have no spans.
     """
-    if example_repos is not None and repo_col is None:
-        raise ValueError("example_repos needs repo_col: an id is no repository")
     found = candidates(docs, id_col, text_col, owner_col, repo_col)
     key = ["id", "text_key"]
     # Texts are searched in this one pass.  A filter on the spans would be pushed below them and search again.
     some = Scratch(docs.sparkSession, "secrets").keep(found, "candidates")
     spans = some.select(*key, F.explode(F.concat("base", "tokens")).alias("s")).select(*key, "s.*").distinct()
-    few = F.col("owners") < EXAMPLE_OWNERS
-    few = few if example_repos is None else few & (F.col("repos") < example_repos)
+    few = (F.col("owners") < EXAMPLE_OWNERS) & (F.col("repos") < example_repos)
     known = spans.join(ownership(some), "hash").withColumn("live", few)
     kept = known.where((F.col("kind") != "token") | F.col("live"))
     grouped = kept.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "place", "end", "kind", "hash", "owners", "repos", "live"))).alias("all"))
@@ -149,18 +148,22 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return scanned.select(F.col("id").alias(id_col), *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"), "live")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", mark: str = "[secret]", repo_col: str | None = None, example_repos: int | None = None) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", mark: str = "[secret]", repo_col: str | None = None, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """``docs`` with the spans of live-looking findings replaced by ``mark``; all rows and columns stay.
 
     Values of copied examples stay, as nothing is lost by showing them.  Overlapping spans
-    are cut as one.
+    are cut as one.  No column of ``docs`` meets one of the work's, whatever its name.
     """
     found = scan(docs, id_col, text_col, owner_col, repo_col, example_repos)
     live = found.select("id", "text_key", F.filter(F.concat("base", "added"), lambda s: s["live"]).alias("cuts")).where(F.size("cuts") > 0).dropDuplicates(["id", "text_key"])
-    out = docs.withColumn("_key", F.xxhash64(text_col)).join(live, (F.col("_key") == live["text_key"]) & F.col(id_col).eqNullSafe(live["id"]), "left")
+    rows = docs.select(
+        F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_key"), F.col(text_col).alias("text"),
+        F.struct(*(F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col)).alias("others"),
+    )
+    out = rows.join(live, (F.col("own_key") == F.col("text_key")) & F.col("own_id").eqNullSafe(F.col("id")), "left")
     # Text between the cuts, in order: (text so far, place reached).
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))
-    text = F.col(text_col)
+    text = F.col("text")
 
     def step(a: Column, s: Column) -> Column:
         fresh = s["start"] >= a["at"]
@@ -168,4 +171,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
         return F.struct(F.when(fresh, F.concat(a["parts"], F.array(piece, F.lit(mark)))).otherwise(a["parts"]).alias("parts"), F.greatest(a["at"], s["end"]).alias("at"))
 
     folded = F.aggregate(F.array_sort("cuts"), start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return out.withColumn("_new", F.when(F.col("cuts").isNotNull(), folded).otherwise(text)).select(*(F.col("_new").alias(c) if c == text_col else docs[c] for c in docs.columns))
+    new = F.when(F.col("cuts").isNotNull(), folded).otherwise(text)
+    return out.select(*(new.alias(c) if c == text_col else F.col(f"others.c{i}").alias(c) for i, c in enumerate(docs.columns)))

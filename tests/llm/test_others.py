@@ -182,11 +182,18 @@ def test_pipeline_stages(spark):
     _check(names["best_fit_packing"](spark, fourth, SF).collect(), fourth.collect())
 
 
+def _others(df, names):
+    """Values of the columns that no stage may change, for each row."""
+    return Counter(tuple(r[n] for n in names) for r in df.collect())
+
+
 def test_pipeline_hard_rows(spark):
     for docs in (documents(spark), empty(spark)):
+        fixed = [c for c in docs.columns if c not in ("text", "n_chars")]
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, SF)
             if name != "best_fit_packing":
                 assert out.columns == docs.columns, name
+                assert not _others(out, fixed) - _others(docs, fixed), name
             docs = out
         docs.count()
