@@ -11,7 +11,10 @@ seam, and the window grows until what lies outside provably cannot change:
   scan from the left meets a boundary of the right part's own scan.
 * Tokens inside one long pre-token.  A token sequence is the encoding of its bytes
   if and only if each adjacent pair is; this holds as every rank is reachable by
-  merges (``Coder`` checks that).  The window grows until its two outer pairs hold.
+  merges (``check_ranks`` sees to that before a job starts).  The window grows until its
+  two outer pairs hold.
+
+Pre-tokens recur, so the ids of short ones are remembered in a worker.
 
 The empty sequence is neutral and joining is associative, so the same reduction
 could run over parts held by different tasks.
@@ -22,15 +25,21 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from heapq import heapify, heappop, heappush
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of a leaf of the tree over a text; bytes of a leaf of the tree over a pre-token.
+LEAF, PIECE = 512, 32
+#: Characters up to which a pre-token's ids are remembered.
+KNOWN = 64
+#: Characters of the longest contraction.
 _CONTRACTION = 3
 
 
@@ -39,47 +48,100 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _merged(piece: bytes, ranks: dict[bytes, int]) -> bool:
-    """Whether merging alone turns ``piece`` into one token."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-        if best == 1 << 60:
-            return False
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return True
+_NONE = 1 << 60
 
 
 class Run:
-    """An encoded stretch of text: pre-token ends (relative, in characters) and ids."""
+    """An encoded stretch of text: its pre-tokens and the ids of each."""
+
+    __slots__ = ("pieces", "ids")
+
+    def __init__(self, pieces: list[str], ids: list[tuple[int, ...]]):
+        self.pieces, self.ids = pieces, ids
 
-    __slots__ = ("text", "ends", "ids")
 
-    def __init__(self, text: str, ends: list[int], ids: list[list[int]]):
-        self.text, self.ends, self.ids = text, ends, ids
+class _Memo(dict):
+    """Ids of pre-tokens seen before; emptied when full, so its size is bounded."""
+
+    def __init__(self, encode, most: int = 1 << 17):
+        self.encode, self.most = encode, most
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = tuple(self.encode(piece.encode()))
+        if len(piece) <= KNOWN:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class Coder:
     """Encoder and decoder for one rank file and pattern.
 
-    leaf: characters up to which a text is encoded in one call.
-    piece: bytes up to which one pre-token is merged in one call.
+    leaf: characters up to which a text is encoded without halving it.
+    piece: bytes up to which a pre-token is merged without halving it.
+    joins: joins of two runs so far, which shows what the tree did.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = 1 << 14, piece: int = 1 << 9):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF, piece: int = PIECE):
         self.ranks = ranks
-        self.leaf, self.piece = max(leaf, 8), max(piece, 2)
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.leaf, self.piece = max(leaf, 2), max(piece, 2)
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.scan = regex.compile(pattern)
+        self.known = _Memo(self.encode_piece)
+        self.joins = 0
         self._pair = lru_cache(maxsize=1 << 16)(self._pair_holds)
 
     def every_rank_reachable(self) -> bool:
-        return all(_merged(b, self.ranks) for b in self.ranks)
+        """Whether merging turns the bytes of each rank into that one token; what is proved above rests on it."""
+        return all(len(self._merge(b)) == 1 for b in self.ranks)
 
     # One pre-token.
+    def _merge(self, piece: bytes) -> list[int]:
+        """Ids of a short stretch of bytes: always the pair of lowest rank next, the first of equals."""
+        rank = self.ranks.get
+        if len(piece) > 128:
+            return self._merge_long(piece)
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        pairs = [rank(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := min(pairs)) < _NONE:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], _NONE)
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], _NONE)
+        return [self.ranks[p] for p in parts]
+
+    def _merge_long(self, piece: bytes) -> list[int]:
+        """The same by a heap of pairs, for windows that had to grow."""
+        rank, n = self.ranks.get, len(piece)
+        end = list(range(1, n + 1))  # where the part that starts here ends; 0 for places inside a part
+        before = list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := rank(piece[i : i + 2], _NONE)) < _NONE]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            middle = end[i]
+            if not middle or middle >= n or rank(piece[i : end[middle]], _NONE) != r:
+                continue
+            stop = end[i] = end[middle]
+            end[middle] = 0
+            if stop < n:
+                before[stop] = i
+                if (r := rank(piece[i : end[stop]], _NONE)) < _NONE:
+                    heappush(heap, (r, i))
+            if i and (r := rank(piece[before[i] : stop], _NONE)) < _NONE:
+                heappush(heap, (r, before[i]))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[piece[i : end[i]]])
+            i = end[i]
+        return out
+
     def _pair_holds(self, a: int, b: int) -> bool:
-        return self.encoding._core_bpe.encode_single_piece(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        return self._merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
 
     def join_tokens(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of two encodings side by side."""
@@ -90,7 +152,7 @@ class Coder:
             lo, hi = max(0, len(left) - reach), min(len(right), reach)
             window = left[lo:] + right[:hi]
             if reach:
-                window = self.encoding._core_bpe.encode_single_piece(b"".join(self.bytes_of[t] for t in window))
+                window = self._merge(b"".join(self.bytes_of[t] for t in window))
             outer = [*left[lo - 1 : lo], *window, *right[hi : hi + 1]] if lo else [*window, *right[hi : hi + 1]]
             sure_left = not lo or self._pair(outer[0], outer[1])
             sure_right = hi == len(right) or self._pair(outer[-2], outer[-1])
@@ -100,65 +162,77 @@ class Coder:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         if len(piece) <= self.piece:
-            return self.encoding._core_bpe.encode_single_piece(piece)
+            whole = self.ranks.get(piece)
+            return self._merge(piece) if whole is None else [whole]
         half = len(piece) // 2
         return self.join_tokens(self.encode_piece(piece[:half]), self.encode_piece(piece[half:]))
 
     # Whole texts.
     def _leaf(self, text: str) -> Run:
-        ends, ids = [], []
-        for m in self.scan.finditer(text):
-            ends.append(m.end())
-            ids.append(self.encode_piece(m.group().encode()))
-        return Run(text, ends, ids)
+        pieces = self.scan.findall(text)
+        return Run(pieces, list(map(self.known.__getitem__, pieces)))
 
     def join(self, left: Run, right: Run) -> Run:
-        """Monoid operation on runs."""
-        if not left.text or not right.text:
-            return right if right.text else left
-        seam = len(left.text)
-        keep = len(left.ends)
-        while keep:
-            start = left.ends[keep - 2] if keep > 1 else 0
-            if left.ends[keep - 1] < seam and start + _CONTRACTION <= seam:
-                break
+        """Monoid operation on runs: the run of both texts side by side."""
+        if not left.pieces or not right.pieces:
+            return left if left.pieces else right
+        self.joins += 1
+        # A match of the left part stays if it ends before the seam and a whole contraction was visible.
+        keep, tail = len(left.pieces) - 1, len(left.pieces[-1])
+        while keep and len(left.pieces[keep - 1]) + tail < _CONTRACTION:
             keep -= 1
-        base = left.ends[keep - 1] if keep else 0
-        text = left.text + right.text
-        stops = {e + seam: i for i, e in enumerate(right.ends)}
-        ends, ids, at = left.ends[:keep], left.ids[:keep], base
-        while at < len(text):
-            at = self.scan.match(text, at).end()
-            ends.append(at)
-            ids.append(self.encode_piece(text[ends[-2] if len(ends) > 1 else 0 : at].encode()))
-            if at in stops:
-                rest = stops[at] + 1
-                ends += [e + seam for e in right.ends[rest:]]
-                ids += right.ids[rest:]
-                break
-        return Run(text, ends, ids)
-
-    def _tree(self, text: str) -> Run:
+            tail += len(left.pieces[keep])
+        before = "".join(left.pieces[keep:])
+        reach = 1
+        while True:
+            # The window grows to the right until a match that stays ends where one of the right part does.
+            text = before + "".join(right.pieces[:reach])
+            whole = reach >= len(right.pieces)
+            fresh, at, start, stop, taken = [], 0, 0, len(before), 0
+            for piece in self.scan.findall(text):
+                start, at = at, at + len(piece)
+                if not whole and (at == len(text) or start + _CONTRACTION > len(text)):
+                    break
+                fresh.append(piece)
+                while stop < at:
+                    stop += len(right.pieces[taken])
+                    taken += 1
+                if stop == at:
+                    ids = self._seam(fresh, left.pieces[keep:] + right.pieces[:taken], left.ids[keep:] + right.ids[:taken])
+                    return Run(left.pieces[:keep] + fresh + right.pieces[taken:], left.ids[:keep] + ids + right.ids[taken:])
+            reach *= 2
+
+    def _seam(self, fresh: list[str], pieces: list[str], ids: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+        """Ids of the fresh pre-tokens, which cover the old pieces; a long one is joined from those that make it up."""
+        if max(map(len, fresh)) <= KNOWN:
+            return list(map(self.known.__getitem__, fresh))
+        begins = dict(zip(accumulate(map(len, pieces), initial=0), range(len(pieces) + 1)))
+        out, at = [], 0
+        for piece in fresh:
+            first, at = at, at + len(piece)
+            if len(piece) <= KNOWN or first not in begins or at not in begins:
+                out.append(self.known[piece])
+            else:
+                out.append(tuple(reduce(self.join_tokens, map(list, ids[begins[first] : begins[at]]))))
+        return out
+
+    def tree(self, text: str) -> Run:
         if len(text) <= self.leaf:
             return self._leaf(text)
+        # Any place will do; before a space, the words at the seam are whole and so known.
         half = len(text) // 2
-        return self.join(self._tree(text[:half]), self._tree(text[half:]))
+        blank = text.rfind(" ", half - half // 4, half)
+        half = blank if blank > 0 else half
+        return self.join(self.tree(text[:half]), self.tree(text[half:]))
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= self.leaf and len(text) <= self.piece:
-            return self.encoding.encode_ordinary(text)
-        if len(text) <= self.leaf and not self._long_piece(text):
-            return self.encoding.encode_ordinary(text)
-        return [t for ids in self._tree(text).ids for t in ids]
-
-    def _long_piece(self, text: str) -> bool:
-        """Whether a pre-token may be longer than ``piece``: a long stretch without a space."""
-        return max(map(len, text.split(" "))) * 4 > self.piece
+        """Ids of a text, by its tree."""
+        return list(chain.from_iterable(self.tree(text).ids))
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of ids, concatenated up a tree."""
-        if len(ids) <= 1 << 12:
-            return self.encoding.decode_bytes(ids)
+        if len(ids) <= self.leaf:
+            return b"".join(map(self.bytes_of.__getitem__, ids))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
@@ -169,6 +243,13 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(load_ranks(path), pattern)
 
 
+@lru_cache(maxsize=4)
+def check_ranks(path: str, pattern: str) -> None:
+    """Refuse a rank file that the proof does not hold for; run once, on the driver."""
+    if not coder(path, pattern).every_rank_reachable():
+        raise ValueError(f"{path}: some rank can't be reached by merges")
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of each row; a null text has no ids.  One row in, one row out."""
 
@@ -179,6 +260,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
             ids = pa.array([c.encode(t or "") for t in texts], type=pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
 
+    check_ranks(path, pattern)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
@@ -219,6 +301,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    check_ranks(path, pattern)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     out = source.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -27,11 +27,11 @@ def test_every_rank_can_be_merged(ranks):
     assert byte_bpe.Coder(ranks, PATTERN).every_rank_reachable()
 
 
-@pytest.mark.parametrize("leaf,piece", [(8, 2), (9, 5), (64, 16), (1 << 14, 1 << 9)])
+@pytest.mark.parametrize("leaf,piece", [(2, 2), (9, 5), (64, 16), (byte_bpe.LEAF, byte_bpe.PIECE)])
 def test_tree_equals_one_call(ranks, reference, leaf, piece):
     coder = byte_bpe.Coder(ranks, PATTERN, leaf, piece)
     rng = random.Random(leaf)
-    for _ in range(400):
+    for _ in range(150):
         text = "".join(rng.choice(PIECES) for _ in range(rng.randrange(40)))
         ids = coder.encode(text)
         assert ids == reference.encode_ordinary(text), repr(text)
@@ -59,3 +59,22 @@ def test_encode_then_decode(spark):
     docs = documents(spark).where("doc_id is not null").select("doc_id", "text").distinct()
     back = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, PATH, PATTERN), PATH, PATTERN)
     assert sorted((r["doc_id"], bytes(r["decoded"])) for r in back.collect()) == sorted((r["doc_id"], (r["text"] or "").encode()) for r in docs.collect())
+
+
+def test_a_whole_table_goes_through_the_tree(spark, ranks, reference):
+    """Ids of all documents equal the library's, and each text longer than a leaf was joined from halves."""
+    coder = byte_bpe.Coder(ranks, PATTERN)
+    for row in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        text, before = row["text"] or "", coder.joins
+        ids = coder.encode(text)
+        assert ids == reference.encode_ordinary(text) and coder.decode(ids) == text.encode()
+        assert coder.joins > before or len(text) <= byte_bpe.LEAF
+
+
+def test_unreachable_ranks_are_refused(tmp_path):
+    import base64
+
+    path = tmp_path / "ranks"
+    path.write_bytes(b"\n".join(base64.b64encode(b) + b" %d" % i for i, b in enumerate([b"a", b"b", b"c", b"abc"])))
+    with pytest.raises(ValueError):
+        byte_bpe.check_ranks(str(path), PATTERN)
