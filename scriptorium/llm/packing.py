@@ -5,10 +5,11 @@ sequences of a fixed capacity.  The plan depends on lengths only, and there are
 most ``capacity`` of them, so planning works on a histogram: it has ``capacity``
 rows at any input size and is the one thing that reaches the driver.
 
-1. Index sums of one, two and three available lengths.  A gap that such a sum fills
-   exactly is closed by that combination, as often as the counts allow.
+1. Index sums of available lengths: a gap that one, a pair or a triple fills exactly is
+   closed by that combination, as often as the counts allow.  Pairs are indexed by their
+   sum, a triple is a length and an indexed pair.
 2. What is left goes best-fit decreasing, again for whole length classes at a time.
-   Three orders of these steps are tried on the histogram; the one of fewest sequences counts.
+   Three plans are made from the histogram; the one of fewest sequences counts.
 
 Every step uses up a length class or leaves less than one more use of it, which
 bounds the number of distinct fillings, and so the broadcast table, by a multiple
@@ -22,7 +23,7 @@ from __future__ import annotations
 import json
 import zlib
 from bisect import bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +38,8 @@ from scriptorium.llm.byte_bpe import load_ranks
 from scriptorium.plans.scratch import Scratch
 
 CAPACITY = 1024
-RANK_BUCKETS = 128
+#: Pieces of one length that a bucket has about; ranks are given within a bucket.
+BUCKET_ROWS, MIN_BUCKETS = 1 << 16, 32
 _PATTERN_PLAIN = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
 
@@ -111,97 +113,111 @@ def tokenized_pieces(docs: DataFrame, json_path: str, ranks_path: str | None = N
     return source.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
-def _complement(counts: Counter, lengths: list[int], gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths whose sum is ``gap``, long ones first."""
-    if counts[gap] > 0:
-        return (gap,)
-    below = lengths[: bisect_right(lengths, gap)]
-    for a in reversed(below):
-        if 2 * a < gap:
-            break
-        b = gap - a
-        if b > 0 and counts[b] > (a == b):
-            return (a, b)
-    # Three: the longest first, then a pair for what it leaves.
-    for a in reversed(below):
-        if 3 * a < gap:
-            break
-        rest = gap - a
-        for b in reversed(lengths[: bisect_right(lengths, min(a, rest))]):
-            c = rest - b
-            if c > b:
-                break
-            if c > 0 and counts[c] > (a == c) + (b == c) and counts[b] > (a == b):
-                return (a, b, c)
-    return None
+class _Sums:
+    """Lengths in use with their counts, and an index from a sum to the pair of lengths that makes it.
+
+    Pairs are indexed once, by sum; counts decide at look-up whether a pair is there still.
+    A sum of three is a length and an indexed pair for what it leaves.
+    """
+
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.counts = Counter({int(k): int(v) for k, v in histogram.items() if v})
+        self.lengths = sorted(self.counts)
+        self._pairs: dict[int, list[int]] = defaultdict(list)
+        for i, short in enumerate(self.lengths):
+            for long in self.lengths[i:]:
+                if short + long > capacity:
+                    break
+                # Of a pair the longer length; the most uneven pair comes first.
+                self._pairs[short + long].append(long)
+
+    def take(self, length: int, times: int) -> None:
+        self.counts[length] -= times
+        if not self.counts[length]:
+            del self.counts[length]
+            self.lengths.remove(length)
+
+    def has(self, *some: int) -> bool:
+        return all(self.counts[x] >= some.count(x) for x in some)
+
+    def pair(self, total: int, most: int, besides: tuple[int, ...] = ()) -> tuple[int, int] | None:
+        """Two lengths of sum ``total`` that are there beside others, none longer than ``most``."""
+        for a in self._pairs.get(total, ()):
+            if a <= most and self.has(a, total - a, *besides):
+                return a, total - a
+        return None
+
+    def closing(self, gap: int, besides: tuple[int, ...] = (), parts: int = 3) -> tuple[int, ...] | None:
+        """Up to ``parts`` lengths that fill ``gap`` exactly beside others in use: the fewest, the longest first."""
+        if self.has(gap, *besides):
+            return (gap,)
+        if parts > 1 and (found := self.pair(gap, gap, besides)):
+            return found
+        if parts > 2:
+            for a in reversed(self.lengths[: bisect_right(self.lengths, gap)]):
+                if 3 * a < gap:
+                    break
+                if self.has(a, *besides) and (found := self.pair(gap - a, a, (a, *besides))):
+                    return (a, *found)
+        return None
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, number of such sequences) that use every piece once.
 
-    Exact complements for all pieces before any residual waste no room, but may use up the
-    short pieces that long ones without a complement would have taken.  So residuals are also
-    tried at once for each length, and for all lengths by best fit alone; the plan of fewest
-    sequences counts, of equals the first.
+    Exact complements for all pieces waste no room, but may use up the short pieces that long
+    ones without a complement would have taken.  So there are three plans: complements of any
+    lengths, complements of which those of several lengths use no short ones (``reserve``), and
+    best fit alone.  The plan of fewest sequences counts, of equals the first.
     """
-    plans = [_planned(histogram, capacity, exact, at_once) for exact, at_once in ((True, False), (True, True), (False, True))]
+    modes = [(3, 0), (3, capacity // 4), (0, 0)]
+    plans = (_planned(histogram, capacity, *mode) for mode in modes)
     return min(plans, key=lambda p: sum(times for _, times in p))
 
 
-def _planned(histogram: dict[int, int], capacity: int, exact: bool, at_once: bool) -> list[tuple[tuple[int, ...], int]]:
-    """exact: whether complements of two and three pieces are used.  at_once: residuals in turn with them."""
-    counts = Counter({int(k): int(v) for k, v in histogram.items() if v})
+def _planned(histogram: dict[int, int], capacity: int, parts: int, reserve: int) -> list[tuple[tuple[int, ...], int]]:
+    """parts: lengths of a complement, at most; none without.
+
+    reserve: complements of several lengths use none below it; short pieces are left to fill what nothing closes.
+    """
+    sums = _Sums(histogram, capacity)
+    counts, lengths = sums.counts, sums.lengths
     if counts and (min(counts) < 1 or max(counts) > capacity):
         raise ValueError("lengths must be from 1 to the capacity")
     fillings: list[tuple[tuple[int, ...], int]] = []
-    lengths = sorted(counts)
 
     def use(filling: tuple[int, ...]) -> None:
         need = Counter(filling)
         times = min(counts[k] // v for k, v in need.items())
         for k, v in need.items():
-            counts[k] -= v * times
-            if not counts[k]:
-                del counts[k]
-                lengths.remove(k)
+            sums.take(k, v * times)
         fillings.append((filling, times))
 
-    def complement(length: int) -> tuple[int, ...] | None:
-        counts[length] -= 1
-        if not counts[length]:
-            lengths.remove(length)
-        found = _complement(counts, lengths, capacity - length)
-        counts[length] += 1
-        if counts[length] == 1:
-            lengths.insert(bisect_right(lengths, length), length)
-        return found
-
     def residual() -> None:
-        """The longest piece with the longest that fit, as often as there are such."""
-        filling, room, left = [], capacity, counts.copy()
+        """The longest piece with the longest that fit; once the sums close the rest exactly, they do."""
+        filling, room = (), capacity
         while room:
-            fit = next((x for x in reversed(lengths[: bisect_right(lengths, room)]) if left[x]), None)
+            closing = sums.closing(room, filling, parts) if parts and filling else None
+            if closing and (len(closing) == 1 or min(closing) >= reserve):
+                filling += closing
+                break
+            fit = next((x for x in reversed(lengths[: bisect_right(lengths, room)]) if sums.has(x, *filling)), None)
             if fit is None:
                 break
-            closing = _complement(left, [x for x in lengths if left[x]], room) if exact and filling else None
-            for x in closing or (fit,):
-                filling.append(x)
-                left[x] -= 1
-                room -= x
-        use(tuple(filling))
+            filling += (fit,)
+            room -= fit
+        use(filling)
 
     if counts[capacity]:
         use((capacity,))
     # Exact complements, longest pieces first: they have the fewest partners.
-    for length in sorted(counts, reverse=True) if exact else ():
+    for length in sorted(counts, reverse=True) if parts else ():
         while counts[length]:
-            found = complement(length)
-            if found:
+            found = sums.closing(capacity - length, (length,), parts)
+            if found and (len(found) == 1 or min(found) >= reserve):
                 use((length, *found))
-            elif at_once:
-                residual()
             else:
-                break
+                residual()
     while lengths:
         residual()
     return fillings
@@ -222,15 +238,17 @@ def _places(fillings: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
-    """``pieces`` with sequence_id and offset; pieces must be a stored table, as it is read three times.
+    """``pieces`` with sequence_id and offset; pieces must be a stored table, as it is read four times.
 
     Rows that tie in all columns may swap places; each still gets its own.
     """
     spark = pieces.sparkSession
-    bucket = F.pmod(F.xxhash64(id_col, "piece"), F.lit(RANK_BUCKETS)).cast("int")
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    # As many buckets as keep the most frequent length's small; ``capacity`` rows decide it.
+    buckets = max(MIN_BUCKETS, -(-max(histogram.values(), default=0) // BUCKET_ROWS))
+    bucket = F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)).cast("int")
     by_bucket = pieces.withColumn("bucket", bucket)
     counted = by_bucket.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = spark.createDataFrame(
         _places(plan(histogram, capacity)) or [(0, 0, 0, 0, 0)],
         "length long, low long, many long, first_sequence long, offset long",

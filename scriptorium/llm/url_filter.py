@@ -13,8 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.plans.scratch import Scratch
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Listed URLs for each 64-bit block, and the most blocks (16 bytes each) that are broadcast.
+#: Listed URLs for each 64-bit block, and the most blocks (16 bytes each) that are broadcast; of more,
+#: each row fetches its own by a join on the block.
 PER_BLOCK, MOST_BLOCKS, BITS = 6, 1 << 20, 4
 
 
@@ -79,11 +82,12 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col:
     is ``block`` and any other ``allow``.  Null URLs and those without :// have an empty
     host and path, fit no rule and are on no list.  Repeated rows stay.
     """
+    # The list is read and made canonical once; count, filter and exact join read the stored keys.
     keys = listed.select(canonical(F.col(listed_col)).alias("key")).where("key is not null").distinct()
+    keys = Scratch(pages.sparkSession, "urls").keep(keys, "listed")
     count = keys.count()
-    blocks = min(MOST_BLOCKS, 1 << max(6, math.ceil(math.log2(max(1, count / PER_BLOCK)))))
+    blocks = 1 << max(6, math.ceil(math.log2(max(1, count / PER_BLOCK))))
     block, bits = _bits(F.col("key"), blocks)
-    # At most MOST_BLOCKS rows of two longs: a longer list makes blocks fuller, not more.
     bloom = keys.select(block.alias("block"), bits.alias("bits")).groupBy("block").agg(F.bit_or("bits").alias("filled"))
     url = F.col(url_col).cast("string")
     host, path = F.col("host"), F.col("path")
@@ -91,7 +95,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col:
     judged = (
         pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("key"))
         .select("id", "host", "path", "key", name.alias("rule"), verdict.alias("ruled"), block.alias("block"), bits.alias("bits"))
-        .join(F.broadcast(bloom), "block", "left")
+        .join(F.broadcast(bloom) if blocks <= MOST_BLOCKS else bloom, "block", "left")
     )
     possible = F.coalesce(F.col("ruled").isNull() & F.col("key").isNotNull() & (F.col("filled").bitwiseAND(F.col("bits")) == F.col("bits")), F.lit(False))
     hit = F.col("hit")

@@ -82,3 +82,22 @@ def test_quick_and_full_tokenizer_agree(spark):
     a = packing.tokenized_pieces(docs, FILES[0]).collect()
     b = packing.tokenized_pieces(docs, *FILES).collect()
     assert Counter(map(tuple, a)) == Counter(map(tuple, b))
+
+
+def test_complements_lose_nothing_against_best_fit():
+    """On skewed lengths the plan with complements needs no more sequences than best fit alone, and is the one used."""
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        lengths = np.minimum(1 + rng.geometric(1 / 200, 4000), 1024)
+        histogram = dict(Counter(lengths.tolist()))
+        used = packing.plan(histogram)
+        assert sum(n for _, n in used) <= sum(n for _, n in packing._planned(histogram, 1024, 0, 0))
+        assert sum(n for filling, n in used if sum(filling) == 1024) > 0
+
+
+def test_buckets_follow_the_most_frequent_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 8)
+    pieces = spark.range(900).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "if(id % 3 = 0, 1024L, id) AS length", "id AS ids_crc32").where("length > 0")
+    rows = packing.pack(pieces).collect()
+    places = {(r["sequence_id"], r["offset"]) for r in rows}
+    assert len(rows) == len(places) == pieces.count()
