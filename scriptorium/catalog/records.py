@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.catalog.common import ENTITIES, LINES, TREE, register
+from scriptorium.operators import entities as E
 from scriptorium.operators import record as R
 from scriptorium.plans.scratch import Scratch
 from scriptorium.sources import files as S
@@ -109,15 +110,13 @@ def listing_float_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(i % 3 == 0, inside).otherwise(F.lit(code))
 
     docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("paper_id"), F.array_join(F.transform(F.split("text", "\n"), one), "\n").alias("tex"))
-    return R.float_attributes(docs).select("paper_id", "label", "caption")
+    return E.float_attributes(docs).select("paper_id", "label", "caption")
 
 
 @register(LINES + """, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM ln WHERE i % 4 = 1)
 SELECT paper_id, 'fig:d' || paper_id || 'i' || CAST(i AS VARCHAR) AS name, true AS found FROM f UNION ALL SELECT paper_id, 'fig:' || CAST(n AS VARCHAR), true FROM f UNION ALL SELECT DISTINCT paper_id, 'fig:none', false FROM ln""")
 def label_to_figure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The environment around a label, or the figure of a number."""
-    from scriptorium.operators import entities as E
-
     docs = latex(spark, sf_dir)
     figures = E.figures(docs)
     names = figures.select("paper_id", F.explode(F.array("label", F.concat(F.lit("fig:"), F.col("ordinal") + 1))).alias("name")).unionByName(docs.select("paper_id", F.lit("fig:none").alias("name")))

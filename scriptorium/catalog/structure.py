@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.catalog.common import ENTITIES, LINES, PLACED, TREE, register
+from scriptorium.catalog.common import ENTITIES, LINES, PLACED, PLAIN, TREE, register
 from scriptorium.operators import citations as C
 from scriptorium.operators import entities as E
 from scriptorium.operators import link as L
 from scriptorium.operators import markers as M
 from scriptorium.operators import sections as S
-from scriptorium.sources.synthetic import latex
+from scriptorium.sources.synthetic import escaped, latex
+from scriptorium.sources.tables import table
 
 
 def _joined(c: str, sep: str = ","):
@@ -149,3 +150,69 @@ def cross_paper_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many papers have a body section of each id, by titles that hold an x."""
     s = S.sections(latex(spark, sf_dir)).where(~F.col("is_appendix") & F.lower("title").contains("x"))
     return s.groupBy("section_id").agg(F.count("*").alias("papers"))
+
+
+def _built(spark: SparkSession, sf_dir: str, one) -> DataFrame:
+    """(paper_id, tex): each line of a document as ``one`` builds it from its number, followed by the line itself."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("paper_id"), "text")
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(one(i.cast("string"), i), F.lit("\n"), escaped(x)))
+    return docs.select("paper_id", F.array_join(lines, "\n").alias("tex"))
+
+
+_WRAPPED = "\\textbf{\\emph{\\textit{{"
+
+
+@register(LINES + r""", h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS stop, max(i) OVER (PARTITION BY doc_id) AS last FROM ln WHERE i % 3 = 0 OR i % 3 = 1)
+SELECT l.paper_id, 'sec:' || CAST(h.n AS VARCHAR) AS section_id, 'H' || CAST(h.i AS VARCHAR) AS title,
+  md5(string_agg(regexp_replace(""" + PLAIN.replace("body", "l.body") + r""", '([%$&#_])', '\\\1', 'g'), chr(10) ORDER BY l.i)) AS slice
+FROM h JOIN ln l ON l.doc_id = h.doc_id AND l.i >= h.i AND (h.stop IS NULL OR l.i < h.stop) GROUP BY 1, 2, 3""")
+def deep_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings with braces five deep, and the text of each section."""
+    def one(n, i):
+        return F.when(i % 3 != 2, F.concat(F.lit("\\section{" + _WRAPPED + "H"), n, F.lit("}" * 5))).otherwise(F.lit(""))
+
+    s = S.sections(_built(spark, sf_dir, one))
+    # A line without a heading begins with an empty one.
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", r"^\n", ""), r"\n\z", ""), r"\n\n", "\n")
+    return s.select("paper_id", "section_id", "title", F.md5(text).alias("slice"))
+
+
+_INNER = "\\begin{tabular}{c}1\\end{tabular}"
+
+
+@register(LINES + r""" SELECT paper_id, 'tab:' || CAST(i AS VARCHAR) AS label, 'Cap ' || CAST(i AS VARCHAR) AS caption, '\begin{tabular}{ll}a & \begin{tabular}{c}1\end{tabular} & ' || CAST(i AS VARCHAR) || '\end{tabular}' AS raw_tex FROM ln WHERE i % 4 = 1""")
+def nested_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tabular within a tabular ends where the outer one does; the caption's braces are five deep."""
+    def one(n, i):
+        built = F.concat(F.lit("\\begin{table}\\caption{" + _WRAPPED + "Cap "), n, F.lit("}" * 5 + "\\label{tab:"), n, F.lit("}\\begin{tabular}{ll}a & " + _INNER + " & "), n, F.lit("\\end{tabular}\\end{table}"))
+        return F.when(i % 4 == 1, built).otherwise(F.lit(""))
+
+    return E.tables(_built(spark, sf_dir, one)).select("paper_id", "label", "caption", "raw_tex")
+
+
+@register(LINES + r""" SELECT paper_id, 'fig:' || CAST(i AS VARCHAR) AS label, 'Cap ' || CAST(i AS VARCHAR) AS caption,
+  CASE WHEN i % 8 = 1 THEN '\fbox{\parbox{3cm}{User: a question of paper ' || paper_id || ' that is shown as text, line ' || CAST(i AS VARCHAR) || '}}' ELSE '' END AS body_tex FROM ln WHERE i % 4 = 1""")
+def figure_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures that are text keep it; of a figure with a graphic and layout nothing is left."""
+    def one(n, i):
+        body = F.when(i % 8 == 1, F.concat(F.lit("\\fbox{\\parbox{3cm}{User: a question of paper "), F.col("paper_id"), F.lit(" that is shown as text, line "), n, F.lit("}}"))).otherwise(F.lit("\\centering\\includegraphics{a.png}"))
+        built = F.concat(F.lit("\\begin{figure}"), body, F.lit("\\caption{" + _WRAPPED + "Cap "), n, F.lit("}" * 5 + "\\label{fig:"), n, F.lit("}\\end{figure}"))
+        return F.when(i % 4 == 1, built).otherwise(F.lit(""))
+
+    return E.figures(_built(spark, sf_dir, one)).select("paper_id", "label", "caption", "body_tex")
+
+
+@register(LINES + r""", f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, b) AS n FROM ln, LATERAL (VALUES (0), (1)) t(b) WHERE i % 3 = 0 OR b = 0)
+SELECT paper_id, CAST(i AS BIGINT) AS line, CAST(b AS BIGINT) AS block, CASE WHEN i % 3 = 0 AND b = 0 THEN 'lst:f' || CAST(i AS VARCHAR)
+  ELSE 'lst:' || CAST(sum(CASE WHEN i % 3 = 0 AND b = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i, b) AS VARCHAR) END AS label,
+  CASE WHEN i % 3 = 0 AND b = 0 THEN 'Cap ' || CAST(i AS VARCHAR) ELSE '' END AS caption FROM f""")
+def listing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and captions of code blocks in listing floats and outside, as whole records have them."""
+    def one(n, i):
+        code = lambda b: F.concat(F.lit("\\begin{lstlisting}\n"), n, F.lit(f" {b}\n\\end{{lstlisting}}\n"))
+        held = F.concat(F.lit("\\begin{listing}\n"), code(0), code(1), F.lit("\\caption{Cap "), n, F.lit("}\\label{lst:f"), n, F.lit("}\n\\end{listing}"))
+        return F.when(i % 3 == 0, held).otherwise(code(0))
+
+    found = E.listings(_built(spark, sf_dir, one))
+    place = F.split("code", " ")
+    return found.select("paper_id", place[0].cast("long").alias("line"), place[1].cast("long").alias("block"), "label", "caption")

@@ -151,7 +151,7 @@ def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = F.transform(F.sequence(F.lit(1), (n % 10 + 1).cast("int")), lambda i: F.struct(F.when(i * 2 <= n % 10, " ").otherwise("text").alias("text")))
     status = F.transform(F.sequence(F.lit(1), F.lit(2)), lambda i: F.struct(F.lit("fig").alias("id"), F.when(n % 13 == i, None).when(n % 17 == i, "vlm_failed").otherwise("ok").alias("status")))
     return table(spark, sf_dir, "documents").select(
-        n.cast("string").alias("paper_id"), some(n % 50 == 0, "{bad").alias("corrupt"), F.when(n % 7 == 0, "0.3").otherwise("0.4").alias("schema_version"), sections.alias("sections"),
+        n.cast("string").alias("paper_id"), some(n % 50 == 0, "{bad").alias("corrupt"), F.when(n % 7 == 0, "0.3").otherwise("0.5").alias("schema_version"), sections.alias("sections"),
         F.when(n % 9 == 0, " ").otherwise("T").alias("title"), F.lit("none").alias("title_source"), some(n % 8 != 0, "A").alias("abstract"), F.lit("none").alias("abstract_source"),
         F.array(F.struct(F.lit("lst:1").alias("id"), F.when(n % 21 == 0, "a\nb").otherwise("python").alias("language"))).alias("listings"),
         F.array(F.struct(F.lit("\\x").alias("command"), (n % 30).cast("int").alias("count"))).alias("residue_top"), F.array(F.struct(F.when(n % 6 == 0, None).otherwise("t").alias("title"))).alias("citations"),

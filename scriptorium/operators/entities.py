@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.scan import occurrences
+from scriptorium.functions.scan import ENV_LEVEL, braced, leveled, occurrences, plain_length, unmarked
 from scriptorium.functions.text import inline_clean, strip
 from scriptorium.operators.markers import cites
 
-_ARG = r"\{((?:[^{}\\]|\\.|\{(?:[^{}\\]|\\.|\{(?:[^{}\\]|\\.|\{[^{}]*+\})*+\})*+\})*+)\}"
-CAPTION = r"(?s)\\caption\*?(?:\[[^\]]*+\])?" + _ARG
+#: A caption in a leveled text.
+CAPTION = r"(?s)\\caption\*?(?:\[[^\]]*+\])?" + braced()
 LABEL = r"\\label\{([^{}]*+)\}"
 GRAPHIC = r"\\includegraphics\*?\s*+(?:\[[^\]]*+\])?\s*+\{([^{}]*+)\}"
-TABULAR = r"(?s)\\begin\{(tabular\*?|tabularx|longtable)\}.*?\\end\{\1\}"
+TABULARS = r"tabular\*?|tabularx|longtable"
+#: A tabular in a text that is leveled by TABULARS; those inside it belong to it.
+TABULAR = rf"(?s)\\begin\{{({TABULARS})\}}({ENV_LEVEL}).*?\\end\{{\1\}}\2"
 #: Layout commands that don't count as a figure's text.
 LAYOUT = (
     r"\\(?:vspace\*?|hspace\*?|captionsetup)\{[^}]*+\}|\\(?:setlength|resizebox)\{[^}]*+\}\{[^}]*+\}|\\(?:begin|end)\{(?:center|subfigure|minipage)\}(?:\[[^\]]*+\])?"
@@ -27,6 +29,7 @@ ENVIRONMENTS = {
     "algorithm": r"algorithm\*?|algorithmic\*?|algorithm2e",
     "listing": r"lstlisting|minted",
     "verbatim": r"verbatim\*?",
+    "listing_float": r"listing\*?",
 }
 PREFIX = {"figure": "fig", "table": "tab", "equation": "eq", "algorithm": "alg", "listing": "lst"}
 # Label heads that stand for a kind.
@@ -37,14 +40,20 @@ ALIASES = {
 
 
 def blocks(docs: DataFrame, kind: str) -> DataFrame:
-    """(paper_id, ordinal, position, stop, env, body) of each environment of a kind."""
-    pattern = rf"(?s)\\begin\{{({ENVIRONMENTS[kind]})\}}(.*?)\\end\{{\1\}}"
-    return occurrences(docs, pattern, {"env": 1, "body": 2}).select("paper_id", "ordinal", F.col("start").alias("position"), F.col("end").alias("stop"), "env", "body")
+    """(paper_id, ordinal, position, stop, env, body, leveled) of each environment of a kind; leveled is the body for ``caption``.
+
+    An environment ends where its own end is, not that of one of its kind inside it.
+    """
+    pattern = rf"(?s)\\begin\{{({ENVIRONMENTS[kind]})\}}({ENV_LEVEL})(.*?)\\end\{{\1\}}\2"
+    marked = leveled(docs.select("paper_id", "tex"), "tex", "_leveled", ENVIRONMENTS[kind])
+    found = occurrences(marked, pattern, {"env": 1, "leveled": 3}, text="_leveled", length=plain_length)
+    return found.select("paper_id", "ordinal", F.col("start").alias("position"), F.col("end").alias("stop"), "env", unmarked(F.col("leveled")).alias("body"), "leveled")
 
 
-def caption(body: Column) -> Column:
-    """The first caption, cleaned; empty without one."""
-    return inline_clean(F.coalesce(F.get(F.regexp_extract_all(body, F.lit(CAPTION), F.lit(1)), F.lit(0)), F.lit("")))
+def caption(leveled_body: Column) -> Column:
+    """The first caption of a leveled body, cleaned; empty without one."""
+    found = F.get(F.regexp_extract_all(leveled_body, F.lit(CAPTION), F.lit(2)), F.lit(0))
+    return inline_clean(unmarked(F.coalesce(found, F.lit(""))))
 
 
 def last_label(body: Column) -> Column:
@@ -54,20 +63,20 @@ def last_label(body: Column) -> Column:
 
 def figures(docs: DataFrame) -> DataFrame:
     """Figures with label, caption, graphics and the text body (if 30 characters or more are no layout)."""
-    body = F.regexp_replace(F.regexp_replace(F.regexp_replace("body", CAPTION, ""), LABEL, ""), GRAPHIC, "")
+    body = F.regexp_replace(F.regexp_replace(unmarked(F.regexp_replace("leveled", CAPTION, "")), LABEL, ""), GRAPHIC, "")
     out = blocks(docs, "figure").withColumn("rest", strip(body))
     return out.select(
-        "paper_id", "ordinal", "position", "env", last_label(F.col("body")).alias("label"), caption(F.col("body")).alias("caption"),
+        "paper_id", "ordinal", "position", "env", last_label(F.col("body")).alias("label"), caption(F.col("leveled")).alias("caption"),
         F.regexp_extract_all("body", F.lit(GRAPHIC), F.lit(1)).alias("src_refs"),
         F.when(F.length(F.regexp_replace("rest", LAYOUT, "")) >= 30, F.col("rest")).otherwise("").alias("body_tex"),
     )
 
 
 def tables(docs: DataFrame) -> DataFrame:
-    raw = F.coalesce(F.get(F.regexp_extract_all("body", F.lit(TABULAR), F.lit(0)), F.lit(0)), strip(F.col("body")))
-    out = blocks(docs, "table").withColumn("raw_tex", raw)
+    raw = F.coalesce(unmarked(F.get(F.regexp_extract_all("_tabulars", F.lit(TABULAR), F.lit(0)), F.lit(0))), strip(F.col("body")))
+    out = leveled(blocks(docs, "table"), "body", "_tabulars", TABULARS).withColumn("raw_tex", raw)
     return out.select(
-        "paper_id", "ordinal", "position", "env", last_label(F.col("body")).alias("label"), caption(F.col("body")).alias("caption"),
+        "paper_id", "ordinal", "position", "env", last_label(F.col("body")).alias("label"), caption(F.col("leveled")).alias("caption"),
         "raw_tex", F.size(F.split("raw_tex", "\n")).alias("tex_lines"), cites(F.col("body")).alias("cites_inside"),
     )
 
@@ -77,19 +86,30 @@ def equations(docs: DataFrame) -> DataFrame:
 
 
 def algorithms(docs: DataFrame) -> DataFrame:
-    return blocks(docs, "algorithm").select("paper_id", "ordinal", "position", "env", last_label(F.col("body")).alias("label"), caption(F.col("body")).alias("caption"), strip(F.col("body")).alias("raw_tex"))
+    return blocks(docs, "algorithm").select("paper_id", "ordinal", "position", "env", last_label(F.col("body")).alias("label"), caption(F.col("leveled")).alias("caption"), strip(F.col("body")).alias("raw_tex"))
+
+
+def float_attributes(docs: DataFrame) -> DataFrame:
+    """(paper_id, position, label, caption) that the first code block in a listing float takes from the float."""
+    floats = blocks(docs, "listing_float").select("paper_id", F.col("position").alias("at"), "stop", last_label(F.col("body")).alias("label"), caption(F.col("leveled")).alias("caption"))
+    code = blocks(docs, "listing").select("paper_id", "position").unionByName(blocks(docs, "verbatim").select("paper_id", "position"))
+    # A float and what is in it are of one paper, and papers have few floats.
+    held = floats.join(code, "paper_id").where("position > at and position < stop")
+    return held.groupBy("paper_id", "at").agg(F.min(F.struct("position", "label", "caption")).alias("f")).select("paper_id", "f.*")
 
 
 def listings(docs: DataFrame) -> DataFrame:
     """Code blocks, then verbatim ones; language from the option, else the token, in lower case.
 
     Unlabelled ones are numbered lst:1, lst:2, ... in that order.  Labels that begin with
-    ``line:`` mark lines: they are taken out of the code and listed.
+    ``line:`` mark lines: they are taken out of the code and listed.  The first block in a
+    listing float takes the float's label and caption where it has none of its own.
     """
     head = r"^(?:\s*+\[[^\]]*+\])?\s*+(?:\{([A-Za-z][A-Za-z0-9+#._-]*+)\})?"
     code = blocks(docs, "listing").withColumn("pass", F.lit(0))
     plain = blocks(docs, "verbatim").withColumn("pass", F.lit(1))
-    out = code.unionByName(plain)
+    floats = float_attributes(docs).select("paper_id", "position", F.col("label").alias("float_label"), F.nullif(F.col("caption"), F.lit("")).alias("float_caption"))
+    out = code.unionByName(plain).join(floats, ["paper_id", "position"], "left")
     option = F.regexp_extract("body", r"^\s*+\[([^\]]*+)\]", 1)
     language = F.coalesce(
         F.nullif(F.regexp_extract(option, r"language\s*=\s*\{?(?:\[[^\]]*\])?([A-Za-z0-9+#-]+)", 1), F.lit("")),
@@ -98,12 +118,13 @@ def listings(docs: DataFrame) -> DataFrame:
     name = F.coalesce(
         F.nullif(F.regexp_extract(option, r"label\s*=\s*\{?([^,}\]]+)", 1), F.lit("")),
         F.get(F.filter(F.regexp_extract_all("body", F.lit(LABEL), F.lit(1)), lambda x: ~x.startswith("line:")), F.lit(0)),
+        F.col("float_label"),
     )
     out = out.select(
         "paper_id", "position", "stop", "pass", "env", F.lower(language).alias("language"), name.alias("named"),
         F.filter(F.regexp_extract_all("body", F.lit(LABEL), F.lit(1)), lambda x: x.startswith("line:")).alias("line_labels"),
         F.regexp_replace(F.regexp_replace(F.regexp_replace(F.when(F.col("pass") == 0, F.regexp_replace("body", head, "")).otherwise(F.col("body")), r"\$?\\label\{[^{}]*+\}\$?", ""), r"[ \t]+(?=\n|$)", ""), r"^\n+|\s+$", "").alias("code"),
-        strip(F.regexp_extract(option, r"caption\s*=\s*\{?([^,}\]]+)", 1)).alias("caption"),
+        F.coalesce(F.nullif(strip(F.regexp_extract(option, r"caption\s*=\s*\{?([^,}\]]+)", 1)), F.lit("")), "float_caption", F.lit("")).alias("caption"),
     )
     order = Window.partitionBy("paper_id").orderBy("pass", "position")
     nameless = F.sum(F.when(F.col("named").isNull(), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))

@@ -11,9 +11,11 @@ from scriptorium.functions.text import strip
 from scriptorium.operators.clean import MATH
 
 # Fixed values of the audit.
-EXPECTED_SCHEMA = "0.4"
+EXPECTED_SCHEMA = "0.5"
 RESIDUE_HIGH, EMPTY_SHARE, LONG_LANGUAGE = 25, 0.30, 30
 FAILED = ["asset_missing", "unsupported_asset", "render_failed", "codex_prompt_failed", "vlm_failed"]
+#: Ranges into which the distinct values of a metric are cut.
+RANGES = 256
 SEVERITIES = ["HIGH", "MED", "LOW", "INFO"]
 
 
@@ -44,13 +46,20 @@ def joined(sections: DataFrame, gap: str = "\n\n") -> DataFrame:
 def distributions(values: DataFrame, metrics: list[str]) -> DataFrame:
     """(metric, papers, low, p50, p95, high, mean); p95 is the value at place floor(0.95 (n - 1)) of the sorted ones.
 
-    Values are counted first and places follow from running counts over the distinct
-    ones, so no task sorts all rows.
+    Values are counted first.  The distinct ones are cut into ranges of about equal number, at
+    bounds from a sketch; places follow from the ranges' totals and from running counts within
+    a range, so no task sorts all values of a metric.
     """
     tall = values.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics))).alias("x")).select("x.*").where("v is not null")
     counted = tall.groupBy("metric", "v").agg(F.count("*").alias("n"))
+    bounds = counted.groupBy("metric").agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 10000).alias("bounds"))
+    ranged = counted.join(F.broadcast(bounds), "metric").withColumn("range", F.size(F.filter("bounds", lambda b: b < F.col("v")))).drop("bounds")
+    sums = ranged.groupBy("metric", "range").agg(F.sum("n").alias("inside"))
     w = Window.partitionBy("metric")
-    placed = counted.withColumn("upto", F.sum("n").over(w.orderBy("v"))).withColumn("total", F.sum("n").over(w))
+    before = sums.withColumn("before", F.sum("inside").over(w.orderBy("range")) - F.col("inside")).withColumn("total", F.sum("inside").over(w)).drop("inside")
+    # One row a metric above, RANGES rows a metric here.
+    inner = F.sum("n").over(Window.partitionBy("metric", "range").orderBy("v"))
+    placed = ranged.withColumn("inner", inner).join(F.broadcast(before), ["metric", "range"]).withColumn("upto", F.col("before") + F.col("inner"))
 
     def at(place: Column) -> Column:
         return F.min(F.when(F.col("upto") > place, F.col("v")))

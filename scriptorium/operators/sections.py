@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.scan import located
+from scriptorium.functions.scan import braced, leveled, located, plain_length, unmarked
 from scriptorium.functions.text import inline_clean
 
-_ARG = r"\{((?:[^{}\\]|\\.|\{(?:[^{}\\]|\\.|\{[^{}]*+\})*+\})*+)\}"
-HEADING = r"(?s)\\((?:sub){0,2}section)\*?\s*+(?:\[[^\]]*+\])?" + _ARG
+#: A heading in a leveled text; its title may have braces of any depth.
+HEADING = r"(?s)\\((?:sub){0,2}section)\*?\s*+(?:\[[^\]]*+\])?" + braced(1)
 APPENDIX = r"(?m)^[ \t]*+\\(?:appendix|appendices)\b(?!\s*\{)|^[ \t]*+\\begin\{appendi(?:x|ces)\}"
 #: Titles that templates leave behind.
 POLLUTION = r"\\@|@mkboth|@startsection"
@@ -21,7 +21,7 @@ _OPEN = "struct<id:string,start:int,n:int>"
 
 def _headings(found: str) -> Column:
     """Accepted headings of ``located`` matches; also with a short title or a star."""
-    raw = F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end_heading"), F.regexp_extract(m["match"], HEADING, 1).alias("command"), F.regexp_extract(m["match"], HEADING, 2).alias("raw")))
+    raw = F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end_heading"), F.regexp_extract(m["match"], HEADING, 1).alias("command"), unmarked(F.regexp_extract(m["match"], HEADING, 3)).alias("raw")))
     level = lambda c: F.when(c == "section", 0).when(c == "subsection", 1).otherwise(2)
     kept = F.filter(raw, lambda h: ~h["raw"].rlike(POLLUTION))
     return F.transform(kept, lambda h: F.struct(h["start"].alias("start"), h["end_heading"].alias("end_heading"), level(h["command"]).alias("level"), inline_clean(h["raw"]).alias("title")))
@@ -61,7 +61,8 @@ def outlined(docs: DataFrame) -> DataFrame:
     The appendix begins at the first switch or at the first level-0 title that starts with
     Appendix.  All within the row: no text is shuffled.
     """
-    out = located(docs, "tex", HEADING, "_found").withColumn("_heads", _headings("_found")).withColumn("tree", _tree("_heads"))
+    found = located(leveled(docs, "tex", "_leveled"), "_leveled", HEADING, "_found", plain_length)
+    out = found.drop("_leveled").withColumn("_heads", _headings("_found")).withColumn("tree", _tree("_heads"))
     switch = F.when(F.col("tex").rlike(APPENDIX), F.length(F.split("tex", APPENDIX, 2)[0]))
     titled = F.get(F.filter("tree", lambda h: (h["level"] == 0) & h["title"].rlike("(?i)^appendi(x|ces)")), F.lit(0))["start"]
     return out.withColumn("appendix", F.least(switch, titled)).drop("_found", "_heads")
