@@ -4,8 +4,9 @@ Equal vectors of a label are folded into one node first.  The nodes of a label a
 to shards of bounded size.  A shard has one graph of several layers, each node linked to
 diverse near nodes, upper layers ever thinner.  Every node queries every shard of its
 label: a descent through the layers, then a beam at the bottom that goes on for as long as
-what it meets is near enough to be a link.  A recall audit compares some nodes' links with
-brute force; while it fails, the beam is doubled, in the end to the whole shard.
+what it meets is near enough to be a link.  A recall audit compares the links of some of the
+queries, of the own shard and of each other one, with brute force; while it fails, the beam is
+doubled, in the end to the whole shard.
 
 Links are verified by cosine in double precision.  A task returns for each node its number
 of links and the smallest node it is connected with there, never the pairs.
@@ -24,45 +25,131 @@ from scriptorium.llm.components import connected_components, spread
 from scriptorium.llm.embeddings import common_length, matrix, salted, usable
 from scriptorium.plans.scratch import Scratch
 
-#: Nodes of a shard; links of a node above the bottom (twice as many there); first beam.
-SHARD, DEGREE, BEAM = 8192, 12, 24
+#: Nodes of a shard; links of a node above the bottom (twice as many there).
+SHARD, DEGREE = 8192, 10
+#: Beams: of the upper layers, while a layer is built, and the first one that an audit tries.
+UPPER, BUILD, BEAM = 6, 16, 4
+#: Nodes of its own batch that a node may be linked with when it is added.
+PEERS = 6
 #: Nodes that an audit compares with brute force, and the recall it asks for.
 AUDIT, RECALL = 96, 0.999
 _SLACK = 1e-4
+_FAR = 2.0  # nothing is as near
+
+
+class Walks:
+    """Best-first walks of some queries over one layer, all at once.
+
+    A walk expands whatever it meets within reach, and of the rest the nearest, ``width`` of
+    them.  It keeps a pool of ``width`` nodes and the set of those it has seen; a step looks at
+    the links of what it expands and at nothing else.
+    """
+
+    def __init__(self, points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, width: int, reach: float = _FAR):
+        n, q = len(points), len(queries)
+        seen = np.zeros(q * n, dtype=bool)
+        self.value = np.full((q, width), -np.inf, dtype=np.float32)
+        self.node = np.full((q, width), -1, dtype=np.int64)
+        waits = np.zeros((q, width), dtype=bool)
+        left = np.full(q, width)
+        every = np.arange(q)
+        self.compared, hits = 0, []
+        who, what = np.repeat(every, entry.shape[1]), entry.ravel()
+        who, what = who[what >= 0], what[what >= 0]
+        while len(who):
+            key = np.unique(who * n + what)
+            key = key[~seen[key]]
+            seen[key] = True
+            who, what = np.divmod(key, n)
+            value = np.einsum("ij,ij->i", queries[who], points[what])
+            self.compared += len(key)
+            near = value >= reach
+            found = who[near], what[near]
+            hits.append(found)
+            self._pool(waits, who[~near], what[~near], value[~near])
+            ahead = np.where(waits, self.value, -np.inf)
+            best = ahead.argmax(axis=1)
+            go = np.flatnonzero((ahead[every, best] > -np.inf) & (left > 0))
+            waits[go, best[go]] = False
+            left[go] -= 1
+            at = np.concatenate([found[1], self.node[go, best[go]]])
+            row, column = np.nonzero(links[at] >= 0)
+            who, what = np.concatenate([found[0], go])[row], links[at[row], column]
+        self.hits = tuple(np.concatenate(x) for x in zip(*hits)) if hits else (every[:0], every[:0])
+
+    def _pool(self, waits: np.ndarray, who: np.ndarray, what: np.ndarray, value: np.ndarray) -> None:
+        """Let newly met nodes into the pools; the farthest leave."""
+        if not len(who):
+            return
+        width = self.value.shape[1]
+        order = np.lexsort((-value, who))
+        who, what, value = who[order], what[order], value[order]
+        rows, begin, inside = np.unique(who, return_index=True, return_inverse=True)
+        place = np.arange(len(who)) - begin[inside]
+        use = place < width
+        fresh = np.full((len(rows), width), -np.inf, dtype=np.float32)
+        names = np.full((len(rows), width), -1, dtype=np.int64)
+        fresh[inside[use], place[use]] = value[use]
+        names[inside[use], place[use]] = what[use]
+        both = np.concatenate([self.value[rows], fresh], axis=1)
+        top = np.argpartition(-both, width - 1, axis=1)[:, :width]
+        self.value[rows] = np.take_along_axis(both, top, axis=1)
+        self.node[rows] = np.take_along_axis(np.concatenate([self.node[rows], names], axis=1), top, axis=1)
+        waits[rows] = np.take_along_axis(np.concatenate([waits[rows], names >= 0], axis=1), top, axis=1)
+
+    def nearest(self, k: int) -> np.ndarray:
+        """The k nearest nodes of each query's pool, -1 where there are fewer."""
+        order = np.argsort(-self.value, axis=1, kind="stable")[:, :k]
+        return np.take_along_axis(self.node, order, axis=1)
 
 
 class Graph:
-    """A layered graph over unit vectors (float32)."""
+    """A layered graph over unit vectors (float32).
+
+    Nodes are renumbered by falling level, so a layer's members are the first of all.
+    ``order`` has the caller's number of each node.  compared: similarities computed so far.
+    """
 
     def __init__(self, unit: np.ndarray, seed: int = 5):
-        self.unit = unit
         n = len(unit)
         rng = np.random.Generator(np.random.PCG64(seed))
         level = np.floor(-np.log(rng.random(n)) / np.log(16)).astype(int)
-        level[: min(n, 1)] = max(level.max(initial=0), 0)
-        self.layers: list[tuple[np.ndarray, np.ndarray]] = []  # (members, links by place in members)
+        self.order = np.argsort(-level, kind="stable")
+        self.unit = unit[self.order]
+        self.compared = 0
+        self.layers: list[np.ndarray] = []  # links, from the top down
         for height in range(level.max(initial=0), -1, -1):
-            members = np.flatnonzero(level >= height)
-            self.layers.append((members, self._linked(members, DEGREE * (1 if height else 2))))
+            self._add(int((level >= height).sum()), DEGREE * (1 if height else 2))
 
-    def _linked(self, members: np.ndarray, degree: int) -> np.ndarray:
-        """Links of a layer: nodes come in growing batches, each searches what is there."""
-        n = len(members)
-        points = self.unit[members]
+    def _entries(self, queries: np.ndarray) -> np.ndarray:
+        """Where walks over the next layer begin: what the layers above found nearest."""
+        entry = np.zeros((len(queries), 1), dtype=np.int64)
+        for links in self.layers:
+            walks = Walks(self.unit[: len(links)], links, queries, entry, UPPER)
+            self.compared += walks.compared
+            entry = walks.nearest(3)
+        return entry
+
+    def _add(self, n: int, degree: int) -> None:
+        """The next layer: nodes come in growing batches, each searches what is there."""
+        points = self.unit[:n]
         links = np.full((n, degree), -1, dtype=np.int64)
         done = min(n, 2 * degree)
         if n:
             self._attach(points, links, np.arange(done), np.tile(np.arange(done), (done, 1)))
         while done < n:
-            fresh = np.arange(done, min(n, 2 * done, done + 512))
-            _, seen = beam(points[:done], links[:done], points[fresh], np.zeros((len(fresh), 1), dtype=np.int64), BEAM, 2.0)
-            old = np.argpartition(-seen, min(2 * degree, done) - 1, axis=1)[:, : 2 * degree]
+            fresh = np.arange(done, min(n, 2 * done, done + 256))
+            entry = self._entries(points[fresh])
+            entry = np.where(entry < done, entry, 0)
+            walks = Walks(points[:done], links[:done], points[fresh], entry, BUILD)
+            # Nodes of a batch don't meet in its walks, so each also gets the nearest of them.
             peers = points[fresh] @ points[fresh].T
             np.fill_diagonal(peers, -np.inf)
-            near = np.argpartition(-peers, min(degree, len(fresh)) - 1, axis=1)[:, :degree]
-            self._attach(points, links, fresh, np.concatenate([old, fresh[near]], axis=1))
+            self.compared += walks.compared + len(fresh) ** 2
+            near = np.argpartition(-peers, min(PEERS, len(fresh)) - 1, axis=1)[:, :PEERS]
+            self._attach(points, links, fresh, np.concatenate([walks.node, fresh[near]], axis=1))
             done += len(fresh)
-        return self._connect(points, links)
+        self.layers.append(self._connect(points, links))
 
     @staticmethod
     def _diverse(points: np.ndarray, nodes: np.ndarray, options: np.ndarray, degree: int) -> np.ndarray:
@@ -71,42 +158,44 @@ class Graph:
         options: one row for each node, distinct, -1 where there is none; so is the result.
         """
         out = np.full((len(nodes), degree), -1, dtype=np.int64)
-        for at in range(0, len(nodes), 128):
-            some = options[at : at + 128]
-            close = np.einsum("bod,bd->bo", points[some], points[nodes[at : at + 128]])
-            close[(some < 0) | (some == nodes[at : at + 128, None])] = -np.inf
-            order = np.argsort(-close, axis=1, kind="stable")[:, : 2 * degree]
+        for at in range(0, len(nodes), 256):
+            some = options[at : at + 256]
+            close = np.matmul(points[some], points[nodes[at : at + 256]][:, :, None])[:, :, 0]
+            close[(some < 0) | (some == nodes[at : at + 256, None])] = -np.inf
+            order = np.argsort(-close, axis=1, kind="stable")[:, : degree + degree // 2]
             some, close = np.take_along_axis(some, order, axis=1), np.take_along_axis(close, order, axis=1)
             near = points[some]
-            between = np.einsum("bod,bpd->bop", near, near)
+            between = np.matmul(near, near.transpose(0, 2, 1))
+            crowded = np.full(some.shape, -np.inf, dtype=np.float32)
             chosen = np.zeros(some.shape, dtype=bool)
             for i in range(some.shape[1]):
-                crowded = np.where(chosen, between[:, i], -np.inf).max(axis=1)
-                chosen[:, i] = (crowded < close[:, i]) & (chosen.sum(axis=1) < degree)
+                chosen[:, i] = crowded[:, i] < close[:, i]
+                crowded = np.where(chosen[:, i, None], np.maximum(crowded, between[:, i]), crowded)
             rank = np.argsort(np.where(close == -np.inf, 2, np.where(chosen, 0, 1)), axis=1, kind="stable")[:, :degree]
             picked = np.take_along_axis(some, rank, axis=1)
             picked[np.take_along_axis(close, rank, axis=1) == -np.inf] = -1
-            out[at : at + 128, : picked.shape[1]] = picked
+            out[at : at + 256, : picked.shape[1]] = picked
         return out
 
     def _attach(self, points: np.ndarray, links: np.ndarray, fresh: np.ndarray, options: np.ndarray) -> None:
-        """Link fresh nodes to diverse options and these back to them."""
+        """Link fresh nodes to diverse options and these back to them; only links that are too many are chosen anew."""
         degree = links.shape[1]
         links[fresh] = self._diverse(points, fresh, options, degree)
         row, column = np.nonzero(links[fresh] >= 0)
-        target, source = links[fresh][row, column], fresh[row]
+        target, source = links[fresh[row], column], fresh[row]
         # Old and new links of the targets, each once.
         olds = np.unique(target)
         old_row, old_column = np.nonzero(links[olds] >= 0)
-        pair = np.unique(np.stack([np.concatenate([target, olds[old_row]]), np.concatenate([source, links[olds][old_row, old_column]])]), axis=1)
-        nodes, begin, size = np.unique(pair[0], return_index=True, return_counts=True)
-        for lo in range(0, len(nodes), 128):
-            part = slice(lo, lo + 128)
-            width = int(size[part].max())
-            table = np.full((len(nodes[part]), width), -1, dtype=np.int64)
-            for k, (x, n) in enumerate(zip(begin[part].tolist(), size[part].tolist())):
-                table[k, :n] = pair[1, x : x + n]
-            links[nodes[part]] = self._diverse(points, nodes[part], table, degree)
+        n = len(points)
+        pair = np.unique(np.concatenate([target * n + source, olds[old_row] * n + links[olds[old_row], old_column]]))
+        node, other = np.divmod(pair, n)
+        nodes, begin, row, size = np.unique(node, return_index=True, return_inverse=True, return_counts=True)
+        table = np.full((len(nodes), max(degree, int(size.max(initial=0)))), -1, dtype=np.int64)
+        table[row, np.arange(len(node)) - begin[row]] = other
+        fits = size <= degree
+        links[nodes[fits]] = table[fits, :degree]
+        if not fits.all():
+            links[nodes[~fits]] = self._diverse(points, nodes[~fits], table[~fits], degree)
 
     @staticmethod
     def _reached(links: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -120,116 +209,93 @@ class Graph:
         return seen
 
     def _connect(self, points: np.ndarray, links: np.ndarray) -> np.ndarray:
-        """Links with room for one more into each node that no walk would reach, from the nearest that one does."""
-        seen = self._reached(links, np.zeros(1, dtype=np.int64))
-        lost, there = np.flatnonzero(~seen), np.flatnonzero(seen)
-        if not len(lost):
-            return links
-        owner = np.concatenate([there[(points[lost[at : at + 512]] @ points[there].T).argmax(axis=1)] for at in range(0, len(lost), 512)])
-        order = np.argsort(owner, kind="stable")
-        owner, lost = owner[order], lost[order]
-        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        more = np.full((len(links), int(place.max()) + 1), -1, dtype=np.int64)
-        more[owner, place] = lost
-        return np.concatenate([links, more], axis=1)
-
-    def search(self, queries: np.ndarray, width: int, reach: float, own: np.ndarray | None = None) -> np.ndarray:
-        """Similarities of each query to the nodes it met (-inf elsewhere).
-
-        own: the queries' places, if they are nodes of this graph; walks then start there.
-        """
-        if own is not None:
-            return beam(self.unit, self.layers[-1][1], queries, own[:, None], width, reach)[1]
-        entry = np.zeros((len(queries), 1), dtype=np.int64)
-        for height, (members, links) in enumerate(self.layers):
-            last = height == len(self.layers) - 1
-            _, seen = beam(self.unit[members], links, queries, entry, width if last else 16, reach if last else 2.0)
-            if last:
-                return seen
-            top = members[np.argsort(-seen, axis=1)[:, :8]]
-            entry = np.minimum(np.searchsorted(self.layers[height + 1][0], top), len(self.layers[height + 1][0]) - 1)
-        raise AssertionError
-
+        """Links with room for more into each node that no walk would reach, from the node before it that one does.
 
-def beam(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, width: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """Best-first walks for all queries at once, each until ``width`` steps were not within ``reach``.
+        A lost node is led to by its nearest own link that is reached, else by the first node.
+        """
+        while True:
+            seen = self._reached(links, np.zeros(min(1, len(links)), dtype=np.int64))
+            lost = np.flatnonzero(~seen)
+            if not len(lost):
+                return links
+            near = links[lost]
+            known = (near >= 0) & seen[near]
+            close = np.where(known, np.matmul(points[near], points[lost][:, :, None])[:, :, 0], -np.inf)
+            owner = np.where(known.any(axis=1), near[np.arange(len(lost)), close.argmax(axis=1)], 0)
+            order = np.argsort(owner, kind="stable")
+            owner, lost = owner[order], lost[order]
+            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            more = np.full((len(links), int(place.max()) + 1), -1, dtype=np.int64)
+            more[owner, place] = lost
+            links = np.concatenate([links, more], axis=1)
+
+    def search(self, queries: np.ndarray, width: int, reach: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) pairs within reach that walks over the bottom layer meet.
+
+        own: the queries' numbers here, if they are nodes of this graph; walks then start there.
+        """
+        entry = self._entries_down(queries) if own is None else own[:, None]
+        walks = Walks(self.unit, self.layers[-1], queries, entry, width, reach)
+        self.compared += walks.compared
+        return walks.hits
 
-    Returns the number of steps and the similarities of what was met.
-    """
-    n, q = len(points), len(queries)
-    seen = np.full((q, n), -np.inf, dtype=np.float32)
-    todo = np.full((q, n), -np.inf, dtype=np.float32)
-    at = np.repeat(np.arange(q), entry.shape[1])
-    start = np.einsum("ij,ij->i", queries[at], points[entry.ravel()])
-    seen[at, entry.ravel()] = start
-    todo[at, entry.ravel()] = start
-    live, steps, missed = np.arange(q), 0, np.zeros(q, dtype=np.int64)
-    while len(live):
-        best = todo[live].argmax(axis=1)
-        value = todo[live, best]
-        missed[live] += value < reach
-        go = (value > -np.inf) & (missed[live] <= width)
-        live, best = live[go], best[go]
-        if not len(live):
-            break
-        todo[live, best] = -np.inf
-        near = links[best]
-        row, column = np.nonzero(near >= 0)
-        who, what = live[row], near[row, column]
-        new = seen[who, what] == -np.inf
-        who, what = who[new], what[new]
-        value = np.einsum("ij,ij->i", queries[who], points[what])
-        seen[who, what] = value
-        todo[who, what] = value
-        steps += 1
-    return steps, seen
+    def _entries_down(self, queries: np.ndarray) -> np.ndarray:
+        bottom = self.layers.pop()
+        try:
+            return self._entries(queries)
+        finally:
+            self.layers.append(bottom)
 
 
 class Index:
     """A shard's graph with an audited beam."""
 
     def __init__(self, vectors: np.ndarray, threshold: float):
-        self.vectors, self.threshold = vectors, threshold
-        self.norm = np.linalg.norm(vectors, axis=1)
-        self.unit = (vectors / self.norm[:, None]).astype(np.float32)
-        self.graph = Graph(self.unit)
-        #: Beam and audited recall of queries by own nodes and by others.
-        self.width: dict[bool, int] = {}
-        self.recall: dict[bool, float] = {}
-
-    def audit(self, own: bool) -> int:
-        """The beam for such queries, doubled until the sampled nodes' links are found."""
-        if own not in self.width:
-            n, width = len(self.unit), BEAM
-            some = np.unique(np.linspace(0, n - 1, min(n, AUDIT)).astype(int))
-            true = self.unit[some] @ self.unit.T >= self.threshold - _SLACK
-            while True:
-                met = self.graph.search(self.unit[some], width, self.threshold - _SLACK, some if own else None)
-                self.recall[own] = ((met >= self.threshold - _SLACK) & true).sum() / max(1, true.sum())
-                if self.recall[own] >= RECALL or width >= n:
-                    break
-                width *= 2
-            self.width[own] = width
-        return self.width[own]
+        self.threshold = threshold
+        norm = np.linalg.norm(vectors, axis=1)
+        self.graph = Graph((vectors / norm[:, None]).astype(np.float32))
+        self.place = np.empty(len(vectors), dtype=np.int64)
+        self.place[self.graph.order] = np.arange(len(vectors))
+        self.vectors, self.norm = vectors[self.graph.order], norm[self.graph.order]
+        #: Beam and audited recall of queries by own nodes and by those of other shards.
+        self.width = {True: BEAM, False: BEAM}
+        self.recall = {True: 1.0, False: 1.0}
+
+    def audit(self, unit: np.ndarray, own: bool) -> None:
+        """Double the beam until sampled queries' links are found; a node's hit on itself doesn't count."""
+        n, reach = len(self.vectors), self.threshold - _SLACK
+        some = np.unique(np.linspace(0, len(unit) - 1, min(len(unit), AUDIT)).astype(int))
+        true = unit[some] @ self.graph.unit.T >= reach
+        place = self.place[some] if own else None
+        if own:
+            true[np.arange(len(some)), place] = False
+        if not true.any():
+            return
+        while True:
+            query, node = self.graph.search(unit[some], self.width[own], reach, place)
+            self.recall[own] = float(true[query, node].sum() / true.sum())
+            if self.recall[own] >= RECALL or self.width[own] >= n:
+                return
+            self.width[own] *= 2
 
     def links(self, vectors: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of all links found, verified in double precision; own: vectors are the shard's."""
-        width = self.audit(own)
+        """(query, node) of all links found, verified in double precision; own: vectors are the shard's, in its order."""
         norm = np.linalg.norm(vectors, axis=1)
         unit = (vectors / norm[:, None]).astype(np.float32)
+        self.audit(unit, own)
         rows, columns = [], []
-        for at in range(0, len(unit), 256):
-            place = np.arange(at, min(at + 256, len(unit))) if own else None
-            row, column = np.nonzero(self.graph.search(unit[at : at + 256], width, self.threshold - _SLACK, place) >= self.threshold - _SLACK)
-            rows.append(row + at)
-            columns.append(column)
-        row, column = np.concatenate(rows), np.concatenate(columns)
-        exact = np.empty(len(row))
-        for at in range(0, len(row), 1 << 16):
-            r, c = row[at : at + (1 << 16)], column[at : at + (1 << 16)]
-            exact[at : at + (1 << 16)] = np.einsum("ij,ij->i", vectors[r], self.vectors[c]) / (norm[r] * self.norm[c])
-        good = exact >= self.threshold
-        return row[good], column[good]
+        for at in range(0, len(unit), 512):
+            place = self.place[at : at + 512] if own else None
+            row, column = self.graph.search(unit[at : at + 512], self.width[own], self.threshold - _SLACK, place)
+            row = row + at
+            exact = np.empty(len(row))
+            for lo in range(0, len(row), 1 << 15):
+                r, c = row[lo : lo + (1 << 15)], column[lo : lo + (1 << 15)]
+                exact[lo : lo + (1 << 15)] = np.einsum("ij,ij->i", vectors[r], self.vectors[c]) / (norm[r] * self.norm[c])
+            good = exact >= self.threshold
+            rows.append(row[good])
+            columns.append(self.graph.order[column[good]])
+        return np.concatenate(rows), np.concatenate(columns)
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -246,32 +312,32 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = after
 
 
-def _link(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(node, n, root) for the nodes with links between a row's two shards."""
+def _link(sent: DataFrame, threshold: float) -> DataFrame:
+    """(node, n, root) for the nodes with links between an index and what asks it.
+
+    Rows of a task come by (label, salt): first the index's own nodes, then those of one shard
+    after another.  An index is built once and only it and one asking shard are held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, index = None, None
+        index, names, copies = None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                spot = (batch.column("label")[i].as_py(), batch.column("salt")[i].as_py())
                 mine = batch.column("nodes")[i].values
-                names, copies = mine.field("rep").to_numpy(), mine.field("copies").to_numpy()
+                asking, numbers = mine.field("rep").to_numpy(), mine.field("copies").to_numpy()
                 vectors = matrix(mine.field("vector"), np.float64)
-                if spot != held:
-                    held, index = spot, Index(vectors, threshold)
-                if batch.column("other")[i].as_py() == spot[1]:
+                if batch.column("asks")[i].as_py():
+                    a, b = index.links(vectors, False)
+                    a = a + len(names)
+                    all_names, all_copies = np.concatenate([names, asking]), np.concatenate([copies, numbers])
+                else:
+                    index, names, copies = Index(vectors, threshold), asking, numbers
                     a, b = index.links(vectors, True)
                     use = a != b
                     # Either end may have found the link; it counts for both.
                     pair = np.unique(np.stack([np.minimum(a[use], b[use]), np.maximum(a[use], b[use])]), axis=1)
                     a, b = pair[0], pair[1]
                     all_names, all_copies = names, copies
-                else:
-                    theirs = batch.column("queries")[i].values
-                    a, b = index.links(matrix(theirs.field("vector"), np.float64), False)
-                    a = a + len(names)
-                    all_names = np.concatenate([names, theirs.field("rep").to_numpy()])
-                    all_copies = np.concatenate([copies, theirs.field("copies").to_numpy()])
                 n = np.bincount(a, weights=all_copies[b], minlength=len(all_names)) + np.bincount(b, weights=all_copies[a], minlength=len(all_names))
                 order = np.argsort(all_names)
                 place = np.empty(len(order), dtype=np.int64)
@@ -280,7 +346,7 @@ def _link(pairs: DataFrame, threshold: float) -> DataFrame:
                 some = np.flatnonzero(n > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(all_names[some]), pa.array(n[some].astype(np.int64)), pa.array(root[some])], names=["node", "n", "root"])
 
-    return pairs.select("label", "salt", "nodes", "other", "queries").mapInArrow(run, "node long, n long, root long")
+    return sent.select("asks", "nodes").mapInArrow(run, "node long, n long, root long")
 
 
 def near_embeddings(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -302,10 +368,14 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     nodes = scratch.keep(nodes.select("rep", "copies", "name.label", "name.vector"), "nodes")
     shards = salted(nodes, "label", "rep", SHARD).groupBy("label", "salt").agg(F.first("salts").alias("salts"), F.collect_list(F.struct("rep", "copies", "vector")).alias("nodes"))
     shards = scratch.keep(shards, "shards")
-    # Each shard meets itself and those after it; a row asks the index of the later one.
-    asking = shards.select("label", F.col("salt").alias("other"), F.col("nodes").alias("queries"), F.explode(F.sequence(F.col("salt"), F.col("salts") - 1)).alias("salt"))
-    pairs = shards.join(asking, ["label", "salt"])
-    found = scratch.keep(_link(pairs, threshold), "links")
+    # Shard s asks the indexes of the next half of its label's shards, in a circle, so each pair
+    # of shards meets once and all indexes are asked alike.  An index is sent once.
+    ahead = F.explode(F.expr("sequence(1, salts div 2)"))
+    asking = shards.where("salts > 1").select("label", F.col("salt").alias("other"), "salts", "nodes", ahead.alias("ahead")).where("2 * ahead < salts or other < ahead")
+    asking = asking.select("label", ((F.col("other") + F.col("ahead")) % F.col("salts")).cast("int").alias("salt"), "other", F.lit(True).alias("asks"), "nodes")
+    sent = shards.select("label", "salt", F.lit(-1).alias("other"), F.lit(False).alias("asks"), "nodes").unionByName(asking)
+    sent = sent.repartition("label", "salt").sortWithinPartitions("label", "salt", "asks", "other")
+    found = scratch.keep(_link(sent, threshold), "links")
 
     counted = found.groupBy("node").agg(F.sum("n").alias("n"))
     united = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)

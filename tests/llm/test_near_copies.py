@@ -167,3 +167,17 @@ def test_symbols_agree_inside_equal_passages():
         sides.append(list(zip(symbol[inner].tolist(), (start[inner] - n).tolist())))
     assert sides[0] == sides[1] and len(sides[0]) > 50
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_hnsw_compares_less_than_brute_force():
+    """On one shard of clusters the graph finds the links with a fraction of the comparisons, self-hits not counted."""
+    rng = np.random.default_rng(6)
+    points = np.repeat(rng.normal(size=(400, 32)), 10, axis=0) + 0.08 * rng.normal(size=(4000, 32))
+    index = hnsw.Index(points, 0.98)
+    a, b = index.links(points, True)
+    unit = points / np.linalg.norm(points, axis=1)[:, None]
+    true = (unit @ unit.T >= 0.98).sum() - 4000
+    assert (a != b).sum() >= 0.99 * true > 1000
+    assert index.graph.compared < 4000 * 4000 / 4
+    c, d = index.links(points[:50] + 1e-9, False)
+    assert len(c) >= 0.99 * (unit[:50] @ unit.T >= 0.98).sum()
