@@ -5,10 +5,12 @@ the smallest and the largest value under each permutation, so half as many hash
 evaluations give as many signature values; bands of these values are the join keys.
 
 Texts with equal sets are folded into one node first, so groups of exact copies cost
-one row.  Bands then group nodes into candidate clusters, and each cluster is checked
-on its full sets, every pair of it: a small cluster in one task, a large one in blocks
-of bounded size, a task for each pair of blocks.  Tasks return at most one link for
-each node, to the smallest node it is united with, never the pairs.
+one row.  A bucket is a band key with its nodes.  Each node is checked, on full sets, against
+the smallest node of each of its buckets, its hub; that joins most groups of near copies.
+Only where a bucket's other nodes are then not all of one component, are those outside the
+hub's component compared with it and with one another, in blocks of bounded size.  A pair
+that meets in no bucket is never compared, so a chain of loosely similar documents costs what
+its buckets hold.  Tasks return at most one link for each node and group, never the pairs.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from scriptorium.plans.scratch import Scratch
 
 #: Values in a band, bands.  A pair at similarity 0.8 misses all bands with probability 5e-6.
 BAND_ROWS, BANDS = 6, 40
-#: Nodes and set members that a block of a large cluster has at most, if no node alone has more.
+#: Nodes and set members that a block of a large bucket has at most, if no node alone has more.
 BLOCK_NODES, BLOCK_MEMBERS = 256, 1 << 20
 
 
@@ -92,20 +94,43 @@ def signatures(docs: DataFrame, k: int, band_rows: int = BAND_ROWS, bands: int =
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, cluster, blocks, members binary) of rows with these first columns and text."""
+    """(doc_id, members binary) of rows of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, members = [], []
-            for part, texts in rows(batch.select(["doc_id", "text"])):
-                ids += part
-                members += [m.tobytes() for m in shingle_sets(texts, k)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), batch.column("cluster"), batch.column("blocks"), pa.array(members, pa.binary())],
-                names=["doc_id", "cluster", "blocks", "members"],
-            )
+            for ids, texts in rows(batch):
+                members = [m.tobytes() for m in shingle_sets(texts, k)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(members, pa.binary())], names=["doc_id", "members"])
+
+    return docs.mapInArrow(run, "doc_id long, members binary")
+
 
-    return docs.select("doc_id", "text", "cluster", "blocks").mapInArrow(run, "doc_id long, cluster long, blocks int, members binary")
+def _stars(groups: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between each row's hub b and its nodes a; an id may have several sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for hub, group in zip(batch.column("hub").to_pylist(), batch.column("nodes")):
+                ids = group.values.field("doc_id").to_pylist()
+                sets = [np.frombuffer(m.as_buffer(), dtype=np.uint64) for m in group.values.field("members")]
+                mine = [s for i, s in zip(ids, sets) if i == hub]
+                for i, s in zip(ids, sets):
+                    if i != hub and any(_alike(h, s, percent) for h in mine):
+                        a.append(i)
+                        b.append(hub)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return groups.select("hub", "nodes").mapInArrow(run, "a long, b long")
+
+
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -178,6 +203,11 @@ def _verify(groups: DataFrame, percent: int) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long")
 
 
+def _blocks(nodes: str, members: str):
+    """Blocks that keep a group of so many nodes and set members small; none without nodes."""
+    return F.greatest(F.ceil(F.col(nodes) / BLOCK_NODES), F.least(nodes, F.ceil(F.col(members) / BLOCK_MEMBERS))).cast("int")
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
 
@@ -196,32 +226,54 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     leads = named.groupBy("set_id", F.xxhash64("set_high", "set_low").alias("_spread")).agg(F.min(F.struct("doc_id", "bands")).alias("lead"))
     nodes = scratch.keep(leads.select("set_id", "lead.doc_id", "lead.bands", F.col("set_id.n_shingles").alias("n")), "nodes")
 
-    # Bands: a key of two nodes or more ties each of them to its smallest.
-    keyed = nodes.select("doc_id", F.explode("bands").alias("key"))
+    # A bucket, which is a band key of two nodes or more, has its smallest node as hub.
+    keyed = nodes.select("doc_id", "n", F.explode("bands").alias("key"))
     hubs = spread(keyed, "key", F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").drop("last")
-    met = keyed.join(hubs, "key").where("doc_id > hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    clusters = connected_components(met, scratch)
-
-    # A cluster is split into as many blocks as keep each small.
-    weighed = scratch.keep(
-        clusters.join(nodes.groupBy("doc_id").agg(F.max("n").alias("n")), clusters["node"] == F.col("doc_id")).select("doc_id", F.col("component").alias("cluster"), "n"),
-        "clusters",
-    )
-    blocks = spread(weighed, "cluster", F.count("*").alias("nodes"), F.sum("n").alias("members")).select(
-        "cluster",
-        F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.least("nodes", F.ceil(F.col("members") / BLOCK_MEMBERS))).cast("int").alias("blocks"),
+    met = scratch.keep(keyed.join(hubs, "key"), "buckets")
+    sets = scratch.keep(_sets(source.join(met.select("doc_id").distinct(), "doc_id"), k), "sets")
+
+    # Each node is checked against the hubs of its buckets; most groups of near copies are one star.
+    arms = met.where("doc_id > hub").groupBy("doc_id", "hub").agg(F.max("n").alias("n"))
+    arms = scratch.keep(arms, "arms")
+    size = spread(arms, "hub", F.count("*").alias("nodes"), F.sum("n").alias("members")).select("hub", _blocks("nodes", "members").alias("blocks"))
+    places = arms.select("doc_id", "hub").join(size, "hub").select("doc_id", "hub", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
+    own = size.select(F.col("hub").alias("doc_id"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    stars = sets.join(places.unionByName(own), "doc_id").groupBy("hub", "block").agg(F.collect_list(F.struct("doc_id", "members")).alias("nodes"))
+    linked_arms = scratch.keep(_stars(stars, percent), "stars")
+    known = scratch.keep(connected_components(linked_arms, scratch), "known")
+
+    # What stars leave open: in a bucket, nodes beside the hub that are not all in one component.
+    of_node = known.select(F.col("node").alias("doc_id"), F.col("component").alias("own"))
+    of_hub = known.select(F.col("node").alias("hub"), F.col("component").alias("theirs"))
+    beside = met.where("doc_id > hub").join(of_node, "doc_id", "left").join(of_hub, "hub", "left")
+    beside = scratch.keep(beside.select("key", "doc_id", "n", F.coalesce("own", "doc_id").alias("own"), (F.coalesce("own", "doc_id") == F.coalesce("theirs", "hub")).alias("settled")), "beside")
+    mark = F.xxhash64("doc_id")
+    split = spread(
+        beside, "key", F.min("own").alias("least"), F.max("own").alias("most"), F.bit_xor(mark).alias("x"), F.sum(mark.bitwiseAND(F.lit((1 << 40) - 1))).alias("s"),
+        *(F.sum(F.when(F.col("settled") == side, value).otherwise(0)).alias(name) for side, name, value in ((True, "d_nodes", F.lit(1)), (False, "o_nodes", F.lit(1)), (True, "d_members", F.col("n")), (False, "o_members", F.col("n")))),
+    ).where("least < most")
+    # Buckets of the same nodes count once.
+    split = split.groupBy("x", "s", "d_nodes", "o_nodes").agg(F.min(F.struct("key", "d_members", "o_members")).alias("b"))
+    split = split.select("b.key", _blocks("d_nodes", "b.d_members").alias("d"), _blocks("o_nodes", "b.o_members").alias("o"))
+    opened = beside.join(split, "key")
+    upto = lambda c: F.expr(f"if({c} > 0, sequence(0, {c} - 1), cast(array() as array<int>))")
+    block = F.pmod(F.xxhash64("doc_id"), F.when(F.col("settled"), F.col("d")).otherwise(F.col("o"))).cast("int")
+    placed = opened.withColumn("block", block)
+    # The hub's component is not compared with itself again: others meet it, and one another.
+    meets = (
+        placed.where("settled").select("key", "doc_id", F.lit(-1).alias("side"), F.lit(True).alias("across"), F.col("block").alias("i"), F.explode(upto("o")).alias("j"))
+        .unionByName(placed.where("not settled").select("key", "doc_id", F.lit(0).alias("side"), F.lit(True).alias("across"), F.explode(upto("d")).alias("i"), F.col("block").alias("j")))
+        .unionByName(
+            placed.where("not settled").withColumn("other", F.explode(upto("o")))
+            .select("key", "doc_id", F.col("block").alias("side"), F.lit(False).alias("across"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        )
     )
-    placed = weighed.select("doc_id", "cluster").join(blocks, "cluster")
-    sets = _sets(source.join(placed, "doc_id"), k)
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spots = sets.withColumn("block", block).withColumn("other", other)
     groups = (
-        spots.groupBy("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .agg(F.collect_list(F.struct("doc_id", "block", "members")).alias("nodes"))
-        .select((F.col("i") != F.col("j")).alias("cross"), "nodes")
+        sets.join(meets, "doc_id").groupBy("key", "across", "i", "j")
+        .agg(F.collect_list(F.struct("doc_id", F.col("side").alias("block"), "members")).alias("nodes"))
+        .select((F.col("across") | (F.col("i") != F.col("j"))).alias("cross"), "nodes")
     )
-    links = scratch.keep(_verify(groups, percent), "links")
+    links = scratch.keep(linked_arms.unionByName(_verify(groups, percent)), "links")
 
     # Equal sets of different ids are links as well; then components, and back to all rows.
     members = linked.select("doc_id", F.struct("n_shingles", "set_high", "set_low").alias("set_id"))

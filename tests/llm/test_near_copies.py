@@ -65,6 +65,17 @@ def test_minhash_large_cluster_is_split(spark, monkeypatch):
     assert {r["component_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
 
 
+def test_minhash_chain_of_loose_copies(spark):
+    """Each text shares half of its words with the next: band hits chain them, and none is linked."""
+    step, width = 12, 36
+    rows = [(i, " ".join(f"w{i * step + j}" for j in range(width))) for i in range(400)]
+    rows += [(400 + i, t + " end") for i, t in rows[:40]]
+    sets = {i: _sets(t, 4) for i, t in rows}
+    want = _components(list(sets), lambda a, b: abs(a - b) in (0, 1, 399, 400, 401) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) == 400
+
+
 def test_minhash_hard_rows(spark):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(documents(spark)).collect()]
     assert len(got) == documents(spark).count()
