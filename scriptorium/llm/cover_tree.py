@@ -5,7 +5,7 @@ among the best.  Nodes are dealt to cells around pivots and, in a cell, to shard
 bounded size; queries are dealt to groups alike.  A task holds one shard and one group,
 builds a cover tree of each and walks both at once: a pair of nodes with centres a, b and
 covering radii r, s can't score above <a, b> + r|b| + s|a| + rs, and is pruned when that is
-below the worst kth score of the query node.
+below the worst kth score of the query node; at a leaf of queries each one is judged by its own.
 
 Groups first meet a shard of their own cell.  The scores found there prune whole cells,
 and only then do groups meet the shards of the cells that are left.
@@ -23,12 +23,18 @@ from pyspark.sql import functions as F
 from scriptorium.llm.embeddings import common_length, matrix, pivots, salted, usable
 from scriptorium.plans.scratch import Scratch
 
-#: Vectors in a shard and in a query group; points of a leaf and children of a node, at most.
-SHARD, GROUP, LEAF, FAN = 2048, 512, 256, 24
+#: Vectors in a shard and in a query group; points up to which a node is a leaf.
+SHARD, GROUP, LEAF = 2048, 512, 32
 
 
 class CoverTree:
-    """Nodes with a centre, the exact covering radius, and either children or points."""
+    """Nodes with a centre, the exact covering radius, and either children or points.
+
+    The children of a node of radius r have centres that are more than r / 2 apart, as many as
+    it takes, and each of the node's points is within r / 2 of its child's centre.  A node is a
+    leaf if it has few points, or if such a cover would take a quarter of them as centres: no
+    ball of half the radius holds enough of them to be worth a bound.
+    """
 
     def __init__(self, points: np.ndarray):
         self.points = points
@@ -42,28 +48,27 @@ class CoverTree:
 
     def _grow(self, members: np.ndarray, centre: int) -> int:
         node = len(self.centre)
-        away = np.linalg.norm(self.points[members] - self.points[centre], axis=1)
+        own = self.points[members]
+        away = np.linalg.norm(own - self.points[centre], axis=1)
         self.centre.append(centre)
         self.radius.append(float(away.max()))
         self.members.append(members)
         self.children.append([])
         if len(members) <= LEAF or not self.radius[node]:
             return node
-        # Centres more than half the radius apart cover the members at half the radius.
-        reach, near = self.radius[node] / 2, away.copy()
+        # Farthest points in turn, until all are within half the radius of one.
+        reach, near = self.radius[node] / 2, away
         owner, centres = np.zeros(len(members), dtype=np.int64), [centre]
-        while near.max() > reach and len(centres) < FAN:
+        while near.max() > reach:
+            if len(centres) >= len(members) // 4:
+                return node
             new = int(near.argmax())
-            d = np.linalg.norm(self.points[members] - self.points[members[new]], axis=1)
+            d = np.linalg.norm(own - own[new], axis=1)
             closer = d < near
-            owner[closer], near[closer] = len(centres), d[closer]
+            owner[closer] = len(centres)
+            near = np.minimum(near, d)
             centres.append(int(members[new]))
-        for k, c in enumerate(centres):
-            part = members[owner == k]
-            if len(part) == len(members):
-                return node
-            if len(part):
-                self.children[node].append(self._grow(part, c))
+        self.children[node] = [self._grow(members[owner == k], c) for k, c in enumerate(centres)]
         return node
 
 
@@ -76,6 +81,8 @@ class Best:
         self.id = np.full((queries, k), np.iinfo(np.int64).max)
         #: Scores below this can't be among the k best overall.
         self.floor = np.full(queries, -np.inf) if floor is None else floor
+        #: Pairs of a query and a point whose score was computed; all others were pruned.
+        self.scored = 0
 
     def worst(self, which: np.ndarray) -> float:
         return float(np.maximum(self.score[which, -1], self.floor[which]).min())
@@ -111,18 +118,29 @@ def dual_search(queries: CoverTree, points: CoverTree, ids: np.ndarray, best: Be
         most = p.points[c] @ q.points[i] + r * p.norm[c] + s * q.norm[i] + r * s
         return most + 1e-9 * np.abs(most) + 1e-6
 
-    stack = [(0, 0, float(bound(0, [0])[0]))]
+    def alive(which: np.ndarray, b: int) -> np.ndarray:
+        """Those of some queries that a point of node b may still have something for; for one query the radius is 0."""
+        most = q.points[which] @ p.points[p.centre[b]] + p.radius[b] * q.norm[which]
+        return which[most + 1e-9 * np.abs(most) + 1e-6 >= np.maximum(best.score[which, -1], best.floor[which])]
+
+    stack = [(0, 0, float(bound(0, [0])[0]), q.members[0])]
     while stack:
-        a, b, most = stack.pop()
-        if most < best.worst(q.members[a]):
+        a, b, most, which = stack.pop()
+        if most < best.worst(which):
             continue
         if q.children[a] and (not p.children[b] or q.radius[a] >= p.radius[b]):
-            stack += sorted(((c, b, float(bound(c, [b])[0])) for c in q.children[a]), key=lambda x: x[2])
-        elif p.children[b]:
+            stack += sorted(((c, b, float(bound(c, [b])[0]), q.members[c]) for c in q.children[a]), key=lambda x: x[2])
+            continue
+        if not q.children[a]:
+            which = alive(which, b)
+            if not len(which):
+                continue
+        if p.children[b]:
             others = p.children[b]
-            stack += sorted(((a, c, float(m)) for c, m in zip(others, bound(a, others))), key=lambda x: x[2])
+            stack += sorted(((a, c, float(m), which) for c, m in zip(others, bound(a, others))), key=lambda x: x[2])
         else:
-            which, m = q.members[a], p.members[b]
+            m = p.members[b]
+            best.scored += len(which) * len(m)
             best.offer(which, q.points[which] @ p.points[m].T, ids[m])
 
 

@@ -43,6 +43,27 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert cover_tree.top_k(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_cover_tree_law_and_pruning():
+    """Children cover at half the radius with separated centres; on a clustered table most pairs are pruned, none wrongly."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(24, 8)) * 400
+    points = np.rint(np.repeat(centres, 80, axis=0) + rng.normal(size=(1920, 8)) * 12)
+    tree = cover_tree.CoverTree(points)
+    assert tree.children[0] and sorted(np.concatenate([m for m, c in zip(tree.members, tree.children) if not c]).tolist()) == list(range(1920))
+    for node, children in enumerate(tree.children):
+        at = points[[tree.centre[c] for c in children]]
+        apart = np.linalg.norm(at[:, None] - at[None], axis=2)[~np.eye(len(at), dtype=bool)]
+        assert (apart > tree.radius[node] / 2).all() and all(tree.radius[c] <= tree.radius[node] / 2 for c in children)
+    queries = points[::50]
+    best = cover_tree.Best(len(queries), 5)
+    cover_tree.dual_search(cover_tree.CoverTree(queries), tree, np.arange(1920), best)
+    score = queries @ points.T
+    for i, row in enumerate(score):
+        order = np.lexsort((np.arange(1920), -row))[:5]
+        assert best.id[i].tolist() == order.tolist()
+    assert best.scored < len(queries) * 1920 / 2
+
+
 def _sharded(rows, docs, shards=16):
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter(
         (d["doc_id"], len((d["text"] or "").encode()) + 1, zlib.crc32((d["text"] or "").encode())) for d in docs)
