@@ -31,6 +31,8 @@ SHARD, DEGREE = 8192, 10
 UPPER, BUILD, BEAM = 6, 16, 4
 #: Nodes of its own batch that a node may be linked with when it is added.
 PEERS = 6
+#: Nodes that a step expands at a time.
+STEP = 1 << 15
 #: Nodes that an audit compares with brute force, and the recall it asks for.
 AUDIT, RECALL = 96, 0.999
 _SLACK = 1e-4
@@ -53,29 +55,41 @@ class Walks:
         waits = np.zeros((q, width), dtype=bool)
         left = np.full(q, width)
         every = np.arange(q)
-        self.compared, hits = 0, []
-        who, what = np.repeat(every, entry.shape[1]), entry.ravel()
-        who, what = who[what >= 0], what[what >= 0]
-        while len(who):
-            key = np.unique(who * n + what)
-            key = key[~seen[key]]
+        self.compared = 0
+
+        def meet(who: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Compare what a query has not seen; returns what is within reach."""
+            key = who * n + what
+            key = np.unique(key[~seen[key]])
             seen[key] = True
             who, what = np.divmod(key, n)
             value = np.einsum("ij,ij->i", queries[who], points[what])
             self.compared += len(key)
             near = value >= reach
-            found = who[near], what[near]
-            hits.append(found)
             self._pool(waits, who[~near], what[~near], value[~near])
+            return who[near], what[near]
+
+        begin = entry.ravel() >= 0
+        found = meet(np.repeat(every, entry.shape[1])[begin], entry.ravel()[begin])
+        hits = [found]
+        while True:
             ahead = np.where(waits, self.value, -np.inf)
             best = ahead.argmax(axis=1)
             go = np.flatnonzero((ahead[every, best] > -np.inf) & (left > 0))
             waits[go, best[go]] = False
             left[go] -= 1
-            at = np.concatenate([found[1], self.node[go, best[go]]])
-            row, column = np.nonzero(links[at] >= 0)
-            who, what = np.concatenate([found[0], go])[row], links[at[row], column]
-        self.hits = tuple(np.concatenate(x) for x in zip(*hits)) if hits else (every[:0], every[:0])
+            owner, at = np.concatenate([found[0], go]), np.concatenate([found[1], self.node[go, best[go]]])
+            if not len(at):
+                break
+            met = []
+            # A dense group makes a step wide; what is at work at once is bounded.
+            for lo in range(0, len(at), STEP):
+                near = links[at[lo : lo + STEP]]
+                row, column = np.nonzero(near >= 0)
+                met.append(meet(owner[lo : lo + STEP][row], near[row, column]))
+            found = np.concatenate([x for x, _ in met]), np.concatenate([x for _, x in met])
+            hits.append(found)
+        self.hits = np.concatenate([x for x, _ in hits]), np.concatenate([x for _, x in hits])
 
     def _pool(self, waits: np.ndarray, who: np.ndarray, what: np.ndarray, value: np.ndarray) -> None:
         """Let newly met nodes into the pools; the farthest leave."""
@@ -233,7 +247,11 @@ class Graph:
         """(query, node) pairs within reach that walks over the bottom layer meet.
 
         own: the queries' numbers here, if they are nodes of this graph; walks then start there.
+        A width of all nodes compares all of them.
         """
+        if width >= len(self.unit):
+            self.compared += len(queries) * len(self.unit)
+            return np.nonzero(queries @ self.unit.T >= reach)
         entry = self._entries_down(queries) if own is None else own[:, None]
         walks = Walks(self.unit, self.layers[-1], queries, entry, width, reach)
         self.compared += walks.compared
@@ -276,7 +294,8 @@ class Index:
             self.recall[own] = float(true[query, node].sum() / true.sum())
             if self.recall[own] >= RECALL or self.width[own] >= n:
                 return
-            self.width[own] *= 2
+            # Walks as wide as this cost more than all comparisons, and these miss nothing.
+            self.width[own] = n if self.width[own] > n // 64 else 2 * self.width[own]
 
     def links(self, vectors: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) of all links found, verified in double precision; own: vectors are the shard's, in its order."""
