@@ -48,7 +48,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-_NONE = 1 << 60
+#: No merge; bits of an id in the key of a pair of ids.
+_NONE, _BITS = 1 << 60, 32
 
 
 class Run:
@@ -61,17 +62,25 @@ class Run:
 
 
 class _Memo(dict):
-    """Ids of pre-tokens seen before; emptied when full, so its size is bounded."""
+    """Ids of pre-tokens seen before, in two generations, so that its size is bounded and frequent ones stay.
+
+    A full generation becomes the older one, which is asked before a pre-token is
+    encoded anew and is dropped when the next one is full.
+    """
 
     def __init__(self, encode, most: int = 1 << 17):
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.older = encode, most, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.encode(piece.encode()))
-        if len(piece) <= KNOWN:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = ids
+        if len(piece) > KNOWN:
+            return tuple(self.encode(piece.encode()))
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = tuple(self.encode(piece.encode()))
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
@@ -87,6 +96,14 @@ class Coder:
         self.ranks = ranks
         self.leaf, self.piece = max(leaf, 2), max(piece, 2)
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.byte = [ranks.get(bytes([i]), _NONE) for i in range(256)]
+        # What two neighbouring tokens merge to, for each split of a token into two.
+        self.merged = {
+            left << _BITS | right: token
+            for b, token in ranks.items()
+            for i in range(1, len(b))
+            if (left := ranks.get(b[:i])) is not None and (right := ranks.get(b[i:])) is not None
+        }
         self.scan = regex.compile(pattern)
         self.known = _Memo(self.encode_piece)
         self.joins = 0
@@ -99,20 +116,20 @@ class Coder:
     # One pre-token.
     def _merge(self, piece: bytes) -> list[int]:
         """Ids of a short stretch of bytes: always the pair of lowest rank next, the first of equals."""
-        rank = self.ranks.get
         if len(piece) > 128:
             return self._merge_long(piece)
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [rank(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+        merged = self.merged.get
+        ids = [self.byte[b] for b in piece]
+        pairs = [merged(a << _BITS | b, _NONE) for a, b in zip(ids, ids[1:])]
         while pairs and (best := min(pairs)) < _NONE:
             i = pairs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            ids[i] = best
+            del ids[i + 1], pairs[i]
             if i < len(pairs):
-                pairs[i] = rank(parts[i] + parts[i + 1], _NONE)
+                pairs[i] = merged(best << _BITS | ids[i + 1], _NONE)
             if i:
-                pairs[i - 1] = rank(parts[i - 1] + parts[i], _NONE)
-        return [self.ranks[p] for p in parts]
+                pairs[i - 1] = merged(ids[i - 1] << _BITS | best, _NONE)
+        return ids
 
     def _merge_long(self, piece: bytes) -> list[int]:
         """The same by a heap of pairs, for windows that had to grow."""
