@@ -68,7 +68,7 @@ def _spans(kind: str, place: int, pattern: str, group: int, least: int) -> str:
     return f"""SELECT doc_id, owner, repo, '{kind}' AS kind, {place} AS place, start, start + length(m[i]) AS stop, v[i] AS value FROM (
       SELECT *, coalesce(list_sum(list_transform(g[1 : i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0) AS start
       FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
-        SELECT doc_id, owner, string_split_regex(text, {p}) AS g, regexp_extract_all(text, {p}) AS m, regexp_extract_all(text, {p}, {group}) AS v FROM d)))
+        SELECT doc_id, owner, repo, string_split_regex(text, {p}) AS g, regexp_extract_all(text, {p}) AS m, regexp_extract_all(text, {p}, {group}) AS v FROM d)))
     WHERE length(v[i]) >= {least}"""
 
 
