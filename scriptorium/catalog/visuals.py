@@ -11,14 +11,10 @@ from scriptorium.operators import visuals as V
 from scriptorium.sources.tables import table
 
 
-def _figures(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """A conversation as a figure: its turns are the visible texts, some refused, some cut off.
-
-    All turns with whole texts, or three turns at most and short refusals.
-    """
+def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation as a figure: all its turns, whole, are the visible texts, some refused, some cut off."""
     c, n = F.col("conv_id"), F.col("conv_id")
-    opening = F.col("text") if whole else F.substring("text", 1, 40)
-    text = F.when((F.col("turn") == 0) & (n % 6 == 0), F.concat(F.lit("I'm sorry, I cannot help. "), opening)).otherwise(F.col("text"))
+    text = F.when((F.col("turn") == 0) & (n % 6 == 0), F.concat(F.lit("I'm sorry, I cannot help. "), F.col("text"))).otherwise(F.col("text"))
     text = F.when(n % 7 == 0, F.concat(text, F.lit("..."))).otherwise(text)
     role = F.when(F.col("role") == "assistant", "Response").when(F.col("role") == "user", "prompt").otherwise("odd")
     items = F.transform(F.array_sort(F.collect_list(F.struct("turn", text.alias("text"), role.alias("role")))), lambda x: F.struct(x["text"].alias("text"), x["role"].alias("role")))
@@ -27,7 +23,7 @@ def _figures(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame
     return rows.select(
         c.alias("conv_id"), (n % 13 != 0).alias("has_visual"), F.when(n % 13 == 0, "").otherwise(status).alias("status"), (n % 5 != 0).alias("asset_exists"), (n % 17 != 0).alias("has_paper_visual"),
         F.when(n % 17 == 0, None).when(n % 19 == 0, "other").otherwise(F.when(n % 13 == 0, "").otherwise(status)).alias("paper_status"),
-        F.when(n % 13 == 0, None).when(n % 11 == 3, F.array().cast("array<struct<text:string,role:string>>")).otherwise(F.col("items") if whole else F.slice("items", 1, 3)).alias("visible_text"),
+        F.when(n % 13 == 0, None).when(n % 11 == 3, F.array().cast("array<struct<text:string,role:string>>")).otherwise(F.col("items")).alias("visible_text"),
         F.lit(None).cast("array<struct<text:string,kind:string,notes:string>>").alias("safety_relevant_content"), F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("uncertain"),
     )
 
@@ -37,8 +33,8 @@ _TRUNCATED = V.TRUNCATED.replace("'", "''")
 _TURNS = """
 WITH c0 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, t, r) AS place FROM (
     SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN x || '...' ELSE x END AS t, CASE WHEN role = 'assistant' THEN 'Response' WHEN role = 'user' THEN 'prompt' ELSE 'odd' END AS r
-    FROM (SELECT *, CASE WHEN turn = 0 AND conv_id % 6 = 0 THEN 'I''m sorry, I cannot help. ' || substr(text, 1, 40) ELSE text END AS x FROM conversations WHERE conv_id IS NOT NULL AND text IS NOT NULL))
-), ids AS (SELECT DISTINCT conv_id FROM c0), c AS (SELECT * FROM c0 WHERE place <= 3 AND conv_id % 13 <> 0 AND conv_id % 11 <> 3)"""
+    FROM (SELECT *, CASE WHEN turn = 0 AND conv_id % 6 = 0 THEN 'I''m sorry, I cannot help. ' || text ELSE text END AS x FROM conversations WHERE conv_id IS NOT NULL AND text IS NOT NULL))
+), ids AS (SELECT DISTINCT conv_id FROM c0), c AS (SELECT * FROM c0 WHERE conv_id % 13 <> 0 AND conv_id % 11 <> 3)"""
 _STATS = _TURNS + f""", st AS (
   SELECT conv_id, count(*) AS items, coalesce(string_agg(t, chr(10) ORDER BY place) FILTER (t <> ''), '') AS joined, string_agg(t, chr(10) ORDER BY place) AS whole,
     bool_or(length(t) >= CASE WHEN r = 'response' THEN 700 ELSE 2400 END - 20 OR regexp_matches(t, '(\\.\\.\\.|…)\\s*$')) AS cut FROM c GROUP BY 1
@@ -54,8 +50,6 @@ _STATS = _TURNS + f""", st AS (
     CASE WHEN refused AND length(joined) < 450 AND length(beside) < 180 AND items <= 3 THEN 'refusal_like_only_or_too_short' WHEN refused THEN 'contains_refusal_text_rich_context' END,
     CASE WHEN cut THEN 'possible_truncated_text' END], lambda q: q IS NOT NULL) AS found FROM x
 ), bk AS (SELECT *, CASE WHEN len(found) = 0 THEN ['ok'] ELSE found END AS buckets FROM b)"""
-#: The same of all turns and whole texts.
-_WHOLE_STATS = _STATS.replace("substr(text, 1, 40)", "text").replace("place <= 3 AND ", "")
 _STRICT = "[" + ", ".join(f"'{s}'" for s in V.STRICT) + "]"
 
 
@@ -69,16 +63,6 @@ def figure_bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.bucket_counts(V.buckets(_figures(spark, sf_dir)), [])
 
 
-@register(_WHOLE_STATS + f" SELECT conv_id, array_to_string(buckets, ',') AS buckets, list_has_any(buckets, {_STRICT}) AS strict, CAST(length(joined) AS BIGINT) AS chars FROM bk")
-def figure_text_buckets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.buckets(_figures(spark, sf_dir, whole=True)).select("conv_id", F.array_join("buckets", ",").alias("buckets"), "strict", F.col("text_chars").cast("long").alias("chars"))
-
-
-@register(_WHOLE_STATS + " SELECT bucket, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(buckets) AS bucket FROM bk) GROUP BY 1")
-def figure_bucket_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.bucket_counts(V.buckets(_figures(spark, sf_dir, whole=True)), [])
-
-
 @register("""WITH w AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'response' WHEN role = 'user' THEN 'prompt' ELSE 'other' END AS role, trim(text) AS whole, CASE WHEN role = 'assistant' THEN 700 ELSE 2400 END AS most FROM conversations WHERE text IS NOT NULL
 ), t AS (SELECT *, CASE WHEN length(whole) > most THEN rtrim(left(whole, most)) || chr(10) || '[truncated: visible text continues in figure]' ELSE whole END AS text FROM w
 ), d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, lower(regexp_replace(text, '\\s+', ' ', 'g')) ORDER BY turn) AS again FROM t WHERE text <> '')
