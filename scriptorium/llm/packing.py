@@ -40,6 +40,8 @@ from scriptorium.plans.scratch import Scratch
 CAPACITY = 1024
 #: Pieces of one length that a bucket has about; ranks are given within a bucket.
 BUCKET_ROWS, MIN_BUCKETS = 1 << 16, 32
+#: Of several white-space characters before a word the last one goes with it; texts are cut before it.
+_CUT = r"(?<=\p{White_Space})(?=\p{White_Space}\P{White_Space})"
 _PATTERN_PLAIN = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
 
@@ -57,7 +59,7 @@ def _full(json_path: str):
 def _quick(ranks_path: str) -> tiktoken.Encoding:
     """The same vocabulary as ranks, with a pattern that has no lookahead.
 
-    It splits alike where no two white-space characters meet.
+    It splits alike where no two white-space characters meet; ``_CUT`` takes care of where they do.
     """
     return tiktoken.Encoding("quick", pat_str=_PATTERN_PLAIN, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
 
@@ -70,14 +72,21 @@ def _special(json_path: str) -> tuple[str, ...]:
 
 
 def _encoder(json_path: str, ranks_path: str | None):
-    double = regex.compile(r"\s\s")
+    cut = regex.compile(_CUT)
     special = _special(json_path)
     quick = _quick(ranks_path) if ranks_path else None
 
     def encode(text: str) -> list[int]:
-        if quick is None or any(s in text for s in special) or double.search(text):
+        # The full tokenizer takes most of a worker's memory; only texts that hold a special token's string need it.
+        if quick is None or any(s in text for s in special):
             return _full(json_path).encode(text, add_special_tokens=False).ids
-        return quick.encode_ordinary(text)
+        ids: list[int] = []
+        at = 0
+        for found in cut.finditer(text):
+            ids += quick.encode_ordinary(text[at : found.start()])
+            at = found.start()
+        ids += quick.encode_ordinary(text[at:])
+        return ids
 
     return encode
 
