@@ -11,7 +11,7 @@ from scriptorium.operators import visuals as V
 from scriptorium.sources.tables import table
 
 
-def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def figures_of_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation as a figure: all its turns, whole, are the visible texts, some refused, some cut off."""
     c, n = F.col("conv_id"), F.col("conv_id")
     text = F.when((F.col("turn") == 0) & (n % 6 == 0), F.concat(F.lit("I'm sorry, I cannot help. "), F.col("text"))).otherwise(F.col("text"))
@@ -35,7 +35,7 @@ WITH c0 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, t,
     SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN x || '...' ELSE x END AS t, CASE WHEN role = 'assistant' THEN 'Response' WHEN role = 'user' THEN 'prompt' ELSE 'odd' END AS r
     FROM (SELECT *, CASE WHEN turn = 0 AND conv_id % 6 = 0 THEN 'I''m sorry, I cannot help. ' || text ELSE text END AS x FROM conversations WHERE conv_id IS NOT NULL AND text IS NOT NULL))
 ), ids AS (SELECT DISTINCT conv_id FROM c0), c AS (SELECT * FROM c0 WHERE conv_id % 13 <> 0 AND conv_id % 11 <> 3)"""
-_STATS = _TURNS + f""", st AS (
+STATS = _TURNS + f""", st AS (
   SELECT conv_id, count(*) AS items, coalesce(string_agg(t, chr(10) ORDER BY place) FILTER (t <> ''), '') AS joined, string_agg(t, chr(10) ORDER BY place) AS whole,
     bool_or(length(t) >= CASE WHEN r = 'response' THEN 700 ELSE 2400 END - 20 OR regexp_matches(t, '(\\.\\.\\.|…)\\s*$')) AS cut FROM c GROUP BY 1
 ), x AS (
@@ -53,14 +53,14 @@ _STATS = _TURNS + f""", st AS (
 _STRICT = "[" + ", ".join(f"'{s}'" for s in V.STRICT) + "]"
 
 
-@register(_STATS + f" SELECT conv_id, array_to_string(buckets, ',') AS buckets, list_has_any(buckets, {_STRICT}) AS strict, CAST(length(joined) AS BIGINT) AS chars FROM bk")
+@register(STATS + f" SELECT conv_id, array_to_string(buckets, ',') AS buckets, list_has_any(buckets, {_STRICT}) AS strict, CAST(length(joined) AS BIGINT) AS chars FROM bk")
 def figure_text_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.buckets(_figures(spark, sf_dir)).select("conv_id", F.array_join("buckets", ",").alias("buckets"), "strict", F.col("text_chars").cast("long").alias("chars"))
+    return V.buckets(figures_of_turns(spark, sf_dir)).select("conv_id", F.array_join("buckets", ",").alias("buckets"), "strict", F.col("text_chars").cast("long").alias("chars"))
 
 
-@register(_STATS + " SELECT bucket, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(buckets) AS bucket FROM bk) GROUP BY 1")
+@register(STATS + " SELECT bucket, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(buckets) AS bucket FROM bk) GROUP BY 1")
 def figure_bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.bucket_counts(V.buckets(_figures(spark, sf_dir)), [])
+    return V.bucket_counts(V.buckets(figures_of_turns(spark, sf_dir)), [])
 
 
 @register("""WITH w AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'response' WHEN role = 'user' THEN 'prompt' ELSE 'other' END AS role, trim(text) AS whole, CASE WHEN role = 'assistant' THEN 700 ELSE 2400 END AS most FROM conversations WHERE text IS NOT NULL

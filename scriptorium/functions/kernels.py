@@ -322,3 +322,60 @@ def braced_text(text: str) -> str:
     text = re.sub(r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?", " ", text)
     text = re.sub(r"(?<!\x01)[{}]", "", text).replace("\x01", "").replace("~", " ")
     return re.sub(r"\n\s*\n+", "\n", re.sub(r"[ \t]+", " ", text)).strip()
+
+
+# Words in a marker's name that tell who speaks, with the role and the region's name.
+SPEAKERS = [("user input", "prompt", "user_input"), ("gpt output", "response", "model_output"), ("model output", "response", "model_output")]
+_MARKER = re.compile(r"%\s*=+\s*([^%\n]+?)\s+(Begin|End)\s*=+")
+_BOX_START, _BOX_END = re.compile(r"\\begin\{mybox\}"), re.compile(r"\\end\{mybox\}")
+Segment = tuple[str, str, str, str]
+
+
+def _named(text: str) -> str:
+    return re.sub(r"[^a-z0-9]+", "-", text.lower()).strip("-")
+
+
+def _marked_parts(tex: str) -> list[Segment]:
+    """Texts between a Begin mark and the next End mark of the same name."""
+    marks = list(_MARKER.finditer(tex))
+    nearest: dict[str, re.Match] = {}
+    closing = {}
+    for m in reversed(marks):
+        if m[2] == "End":
+            nearest[m[1]] = m
+        else:
+            closing[m.start()] = nearest.get(m[1])
+    out, at = [], 0
+    for m in marks:
+        if m.start() < at or (end := closing.get(m.start())) is None:
+            continue
+        words, at = " ".join(m[1].lower().split()), end.end()
+        role, region = next(((r, g) for w, r, g in SPEAKERS if w in words), ("other", _named(words) or "figure"))
+        out.append((braced_text(tex[m.end() : end.start()]), f"latex_marker:{region}", role, "high"))
+    return out
+
+
+def _boxed_parts(tex: str) -> list[Segment]:
+    """Boxes with the title that their first argument gives."""
+    out = []
+    for m in _BOX_START.finditer(tex):
+        if (end := _BOX_END.search(tex, m.end())) is None:
+            break
+        given = argument(tex, m.end()) if tex.startswith("{", m.end()) else None
+        title, at = (braced_text(given[0]), given[1]) if given else ("", m.end())
+        if body := braced_text(tex[at : end.start()]):
+            text = f"{title}\n\n{body}" if title else body
+            out.append((text, f"latex_mybox:{_named(title or 'box') or 'figure'}", "prompt" if "prompt" in title.lower() else "other", "high"))
+    return out
+
+
+def _whole_part(tex: str) -> list[Segment]:
+    return [(" ".join(re.sub(r"[{}\[\]();]", " ", braced_text(tex)).split()), "latex_figure_environment", "other", "medium")]
+
+
+def visible_segments(tex: str) -> list[Segment]:
+    """(text, region, role, confidence) of a figure environment: marked parts, else boxes, else all of it."""
+    for parts in (_marked_parts, _boxed_parts, _whole_part):
+        if found := [s for s in parts(tex) if s[0]]:
+            return found
+    return []

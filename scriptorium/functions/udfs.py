@@ -18,6 +18,7 @@ _ENTRY = T.ArrayType(
     T.StructType()
     .add("key", _S).add("type", _S).add("fields", T.MapType(_S, _S)).add("raw", _S).add("title", _S).add("authors", T.ArrayType(_S))
 )
+_SEGMENT = T.ArrayType(T.StructType().add("text", _S).add("region", _S).add("role", _S).add("confidence", _S))
 
 
 def _text(f: Callable[[str], str]) -> Callable[[Column], Column]:
@@ -61,3 +62,10 @@ def bib_entries(content: pd.Series) -> pd.Series:
 def unescape_html(values: pd.Series) -> pd.Series:
     """Character references of all kinds, for which there is no built-in."""
     return values.map(lambda a: [html.unescape(x) for x in a] if a is not None else None)
+
+
+@F.pandas_udf(_SEGMENT)
+def visible_segments(tex: pd.Series) -> pd.Series:
+    """Texts that a figure environment shows, with region, role and confidence."""
+    names = ("text", "region", "role", "confidence")
+    return tex.map(lambda t: [dict(zip(names, s)) for s in K.visible_segments(t)] if t is not None else None)
