@@ -134,12 +134,12 @@ def citation_counts_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(paper_id, section_id, order, text) with one section a line and commands that cleaning left."""
+    """(paper_id, section_id, order, text) with one section a line, commands that cleaning left and the line itself."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     lines = docs.select(F.col("doc_id").cast("string").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("order", "line"))
     i = F.col("order")
     letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (i % 26 + 1).cast("int"), F.lit(1))
-    text = F.concat(F.lit("$\\inside x$ "), F.when(i % 3 != 0, F.concat(F.lit("\\cmd"), letter, F.lit(" ")).cast("string")).otherwise(""), F.when(i % 4 == 0, "\\same{} \\same").otherwise(""))
+    text = F.concat(F.lit("$\\inside x$ "), F.when(i % 3 != 0, F.concat(F.lit("\\cmd"), letter, F.lit(" ")).cast("string")).otherwise(""), F.when(i % 4 == 0, "\\same{} \\same").otherwise(""), F.lit(" "), escaped(F.col("line")))
     return lines.select("paper_id", F.concat(F.lit("sec:"), i + 1).alias("section_id"), "order", text.alias("text"))
 
 
