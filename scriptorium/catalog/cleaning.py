@@ -15,7 +15,7 @@ from scriptorium.operators import clean as D
 from scriptorium.operators import markers as M
 from scriptorium.operators import quality as Q
 from scriptorium.operators import sections as S
-from scriptorium.sources.synthetic import bibliography, escaped, latex
+from scriptorium.sources.synthetic import bibliographies, bibliography, escaped, latex
 from scriptorium.sources.tables import table
 
 _ID = "CAST(doc_id AS VARCHAR)"
@@ -103,15 +103,20 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", slug(F.concat("p_name", F.lit(" / "), "p_type"), limit=None).alias("slug"))
 
 
-@register("SELECT 'k' || CAST(k AS VARCHAR) AS key, 'main.bib' AS file, 'article' AS type, 'Title ' || CAST(k AS VARCHAR) AS title, 'J' || CAST(k AS VARCHAR) || ' Doe|Ann Roe' AS authors, CAST(k % 30 + 1990 AS VARCHAR) AS year, 'Venue ' || CAST(k % 7 AS VARCHAR) AS venue FROM range(80) r(k) UNION ALL SELECT 'k' || CAST(k AS VARCHAR), 'extra.bib', 'misc', 'Short ' || CAST(k AS VARCHAR), '', NULL, NULL FROM range(0, 80, 3) r(k)")
+_BIBS = "WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS d FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL) "
+
+
+@register(_BIBS + """SELECT d AS paper_id, 'd' || d AS key, 'main.bib' AS file, 'article' AS type, 'Title ' || d AS title, 'J' || d || ' Doe|Ann Roe' AS authors, CAST(doc_id % 30 + 1990 AS VARCHAR) AS year, 'Venue ' || CAST(doc_id % 7 AS VARCHAR) AS venue FROM d
+UNION ALL SELECT d, 'd' || d, 'extra.bib', 'misc', 'Short ' || d, '', NULL, NULL FROM d UNION ALL SELECT d, 'x' || d, 'extra.bib', 'misc', 'Other ' || d, '', NULL, NULL FROM d""")
 def bib_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = B.entries(bibliography(spark))
-    return e.select("key", "file", "type", "title", F.array_join(F.coalesce("authors", F.array().cast("array<string>")), "|").alias("authors"), "year", "venue")
+    """Entries of two files for each document; a whole text stands between the fields that are read."""
+    e = B.entries(bibliographies(spark, sf_dir))
+    return e.select("paper_id", "key", "file", "type", "title", F.array_join(F.coalesce("authors", F.array().cast("array<string>")), "|").alias("authors"), "year", "venue")
 
 
-@register("SELECT 'k' || CAST(k AS VARCHAR) AS key, 'main.bib' AS file FROM range(80) r(k)")
+@register(_BIBS + "SELECT d AS paper_id, 'd' || d AS key, 'main.bib' AS file FROM d UNION ALL SELECT d, 'x' || d, 'extra.bib' FROM d")
 def bib_dedupe_largest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.largest_file_entries(B.entries(bibliography(spark))).select("key", "file")
+    return C.largest_file_entries(B.entries(bibliographies(spark, sf_dir))).select("paper_id", "key", "file")
 
 
 @register(PLACED + """, c AS (SELECT paper_id, key, CAST(substr(key, 2) AS INTEGER) AS k, count(*) AS n FROM ct GROUP BY 1, 2)

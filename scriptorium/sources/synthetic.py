@@ -71,3 +71,16 @@ def bibliography(spark: SparkSession, keys: int = 80) -> DataFrame:
     whole = spark.range(keys).select(entry.alias("e"), "id").groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "e"))), lambda x: x["e"]), "").alias("content")).select(F.lit("main.bib").alias("file"), "content")
     other = spark.range(0, keys, 3).select(short.alias("e"), "id").groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "e"))), lambda x: x["e"]), "").alias("content")).select(F.lit("extra.bib").alias("file"), "content")
     return whole.unionByName(other).select("file", F.length("content").cast("long").alias("size"), "content")
+
+
+def bibliographies(spark: SparkSession, folder: str) -> DataFrame:
+    """(paper_id, file, size, content): two .bib files for each document with a text, which is an entry's abstract; both have its key."""
+    docs = table(spark, folder, "documents").where("text is not null and doc_id is not null")
+    n, d = F.col("doc_id"), F.col("doc_id").cast("string")
+    main = F.concat(
+        F.lit("@article{d"), d, F.lit(",\n title = {Title {"), d, F.lit("}},\n abstract = {"), escaped(F.col("text")), F.lit("},\n author = \"Doe, J"), d, F.lit(" and Ann Roe\",\n year = "),
+        (n % 30 + 1990).cast("string"), F.lit(",\n journal = {Venue "), (n % 7).cast("string"), F.lit("}\n}\n"),
+    )
+    extra = F.concat(F.lit("@misc{d"), d, F.lit(", title={Short "), d, F.lit("}}\n@misc{x"), d, F.lit(", title={Other "), d, F.lit("}}\n"))
+    files = F.array(F.struct(F.lit("main.bib").alias("file"), main.alias("content")), F.struct(F.lit("extra.bib").alias("file"), extra.alias("content")))
+    return docs.select(d.alias("paper_id"), F.explode(files).alias("f")).select("paper_id", "f.file", F.length("f.content").cast("long").alias("size"), "f.content")
