@@ -32,3 +32,27 @@ def test_time_of_headings_follows_length():
         return time.perf_counter() - at
 
     assert seconds(20_000) < 30 * max(seconds(2_000), 0.01)
+
+
+ENTITIES = ["canonical_ids", "entity_binding_asof", "referenced_in", "ref_rewrite", "figures", "tables", "listings", "listing_records", "listing_float_attributes", "figure_bodies", "cross_paper_key_lookup"]
+
+
+@pytest.mark.parametrize("name", ENTITIES)
+def test_environments_are_found_once(spark, name):
+    text = plan(spark, name)
+    assert text.count("run(tex") == (name != "cross_paper_key_lookup")
+    assert "regexp_extract_all(tex" not in text
+
+
+def test_time_of_environments_follows_length():
+    from scriptorium.operators.entities import ENVIRONMENTS
+
+    names, tokens = {k: re.compile(v) for k, v in ENVIRONMENTS.items()}, K.environment_tokens("|".join(ENVIRONMENTS.values()))
+
+    def seconds(n):
+        text = "\\begin{listing}\\begin{minted}a\\end{minted}\\caption{a {b}}\\end{listing}\\begin{figure} never closed {" * n
+        at = time.perf_counter()
+        assert len(K.environments(text, names, tokens)) == 2 * n
+        return time.perf_counter() - at
+
+    assert seconds(10_000) < 30 * max(seconds(1_000), 0.01)
