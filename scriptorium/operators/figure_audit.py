@@ -70,7 +70,9 @@ def latex_fallback(tex: DataFrame, figures: DataFrame) -> DataFrame:
     hits = asked.select("paper_id", "figure_id", "k.priority", F.col("k.key").alias("name")).join(labelled, ["paper_id", "name"])
     hits = hits.groupBy("paper_id", "figure_id").agg(F.min_by("env", "priority").alias("by_label"))
     found = figures.select("paper_id", "figure_id").distinct().join(hits, ["paper_id", "figure_id"], "left").join(numbered, ["paper_id", "figure_id"], "left")
-    out = found.select("paper_id", "figure_id", visible_segments(F.coalesce("by_label", "by_number")).alias("seen")).where(F.size("seen") > 0)
+    out = found.select("paper_id", "figure_id", visible_segments(F.coalesce("by_label", "by_number")).alias("seen"))
+    # By an outer explode of one element, as a filter by the size would go below and find the segments twice.
+    out = out.select("paper_id", "figure_id", F.explode_outer(F.filter(F.array("seen"), lambda s: F.size(s) > 0)).alias("seen")).where("seen is not null")
 
     speakers = F.filter("seen", lambda s: s["role"].isin("prompt", "response"))
     kind = lambda s: F.when(s["role"] == "prompt", "target_query").otherwise("model_response")
