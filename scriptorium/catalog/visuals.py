@@ -72,7 +72,7 @@ def visible_text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("role") == "assistant", "Response").when(F.col("role") == "user", "PROMPT").otherwise("odd")
     rows = table(spark, sf_dir, "conversations").where("text is not null").withColumn("x", F.explode(F.array(F.struct(F.col("text").alias("text"), F.lit(0).alias("k")), F.struct(F.concat(F.lit("  "), F.col("text"), F.lit("\n")).alias("text"), F.lit(1).alias("k")))))
     items = F.transform(F.array_sort(F.collect_list(F.struct("x.k", "turn", "x.text", role.alias("role")))), lambda x: F.struct(x["text"].alias("text"), x["role"].alias("role")))
-    out = V.normalize_visible(rows.groupBy("conv_id").agg(items.alias("visible_text"))).where(F.size("visible_text") > 0)
+    out = V.normalize_visible(rows.groupBy("conv_id").agg(items.alias("visible_text")), blanks=r" +\z").where(F.size("visible_text") > 0)
     total = F.aggregate("visible_text", F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
     return out.select("conv_id", F.size("visible_text").cast("long").alias("items"), total.alias("chars"), F.size(F.filter("visible_text", lambda x: x["role"] == "response")).cast("long").alias("responses"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import strip, word_count
+from scriptorium.functions.udfs import first_places
 from scriptorium.operators.quality import FAILED
 
 # Roles, kinds, limits and marks of the enrichment records.
@@ -85,18 +86,23 @@ def bucket_counts(classified: DataFrame, by: list[str]) -> DataFrame:
     return classified.select(*by, F.explode("buckets").alias("bucket")).groupBy(*by, "bucket").agg(F.count("*").alias("n"))
 
 
-def _capped(text: Column, limit: Column) -> Column:
-    return F.when(F.length(text) > limit, F.concat(F.regexp_replace(F.substring(text, F.lit(1), limit), r"(?U)\s+$", ""), F.lit(CUT_MARK))).otherwise(text)
+def _capped(text: Column, limit: Column, blanks: str = r"(?U)\s+$") -> Column:
+    return F.when(F.length(text) > limit, F.concat(F.regexp_replace(F.substring(text, F.lit(1), limit), blanks, ""), F.lit(CUT_MARK))).otherwise(text)
 
 
 def _first_of_each(df: DataFrame, column: str, kind: str) -> DataFrame:
     """Items that no earlier one equals in kind and in text, white space and case aside."""
     key = F.transform(column, lambda x: F.concat(x[kind], F.lit("\u0000"), F.lower(F.trim(F.regexp_replace(x["text"], r"(?U)\s+", " ")))))
-    return df.withColumn("_keys", key).withColumn(column, F.filter(column, lambda x, i: F.array_position("_keys", F.get("_keys", i)) == i + 1)).drop("_keys")
+    kept = F.transform("_first", lambda i: F.get(column, i))
+    # Behind an explode, as a later filter by the items would go below and find all of them anew for each one.
+    return df.withColumn("_first", first_places(key)).withColumn(column, F.explode_outer(F.array(kept))).drop("_first")
 
 
-def normalize_visible(df: DataFrame, column: str = "visible_text") -> DataFrame:
-    """Trimmed texts, known roles, cut at the limit, without unreadable ones and repeats."""
+def normalize_visible(df: DataFrame, column: str = "visible_text", blanks: str = r"(?U)\s+$") -> DataFrame:
+    """Trimmed texts, known roles, cut at the limit, without unreadable ones and repeats.
+
+    blanks: a pattern of what goes from the end of a text that was cut.
+    """
     items = F.coalesce(F.col(column), F.array().cast(df.schema[column].dataType))
     items = F.transform(items, lambda x: x.withField("text", strip(F.coalesce(x["text"], F.lit("")))).withField("role", F.lower(F.coalesce(x["role"], F.lit("other")))))
     items = F.filter(items, lambda x: ~F.lower(x["text"]).isin(UNREADABLE))
@@ -104,7 +110,7 @@ def normalize_visible(df: DataFrame, column: str = "visible_text") -> DataFrame:
     def one(x: Column) -> Column:
         role = F.when(x["role"].isin(ROLES), x["role"]).otherwise("other")
         limit = F.when(role.isin(ANSWER_ROLES), MAX_ANSWER).otherwise(MAX_TEXT)
-        return x.withField("truncated", F.length(x["text"]) > limit).withField("text", _capped(x["text"], limit)).withField("role", role)
+        return x.withField("truncated", F.length(x["text"]) > limit).withField("text", _capped(x["text"], limit, blanks)).withField("role", role)
 
     return _first_of_each(df.withColumn(column, F.transform(items, one)), column, "role")
 
