@@ -60,7 +60,7 @@ def ref_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(PLACED + """ SELECT paper_id, section_id, 'fn:' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS VARCHAR) AS footnote_id, 'Note ' || paper_id || ' ' || CAST(i AS VARCHAR) AS text FROM pl WHERE i % 8 = 5""")
 def footnotes_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.footnotes(M.marked_sections(S.sections(latex(spark, sf_dir))))
+    return M.footnotes(M.marked_documents(latex(spark, sf_dir)))
 
 
 @register(PLACED + """ SELECT paper_id, key, CAST(count(*) AS BIGINT) AS "count", arg_min(section_id, ord) AS first_context FROM ct GROUP BY 1, 2""")
@@ -134,7 +134,7 @@ def referenced_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(PLACED + """ SELECT paper_id, section_id, string_agg('[#fig:d' || paper_id || 'i' || CAST(i - 1 AS VARCHAR) || ']', '' ORDER BY i) AS markers FROM pl WHERE i % 4 = 2 GROUP BY 1, 2""")
 def ref_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = latex(spark, sf_dir)
-    r = L.rewrite_refs(M.marked_sections(S.sections(docs)), E.entities(docs))
+    r = L.rewrite_refs(M.marked_documents(docs), E.entities(docs))
     return r.select("paper_id", "section_id", F.array_join(F.regexp_extract_all("marked", F.lit(r"\[#[^\]]*\]"), F.lit(0)), "").alias("markers")).where("markers <> ''")
 
 

@@ -7,6 +7,7 @@ import pytest
 
 from scriptorium import registry
 from scriptorium.functions import kernels as K
+from scriptorium.functions import rules as R
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +57,20 @@ def test_time_of_environments_follows_length():
         return time.perf_counter() - at
 
     assert seconds(10_000) < 30 * max(seconds(1_000), 0.01)
+
+
+@pytest.mark.parametrize("name", ["denoise_text", "footnotes_numbered"])
+def test_sections_are_marked_and_cleaned_by_one_kernel(spark, name):
+    text = plan(spark, name)
+    assert calls(spark, name, {"denoise_text": "cleaned_headings", "footnotes_numbered": "marked_headings"}[name]) == 1
+    assert "regexp_extract_all" not in text and "Window" not in text
+
+
+def test_time_of_cleaning_follows_length():
+    def seconds(n):
+        text = "\\section{A}" + "a \\cite{k1, k2} \\ref{f}\\footnote{n {x}} $x$ \\textbf{b}\n\\begin{figure}kept \\caption{c}\\end{figure}\n\\begin{lemma}a\\end{lemma} \\% {c}  d\n" * n
+        at = time.perf_counter()
+        assert R.cleaned_headings(text)[0][-1].count("[^fn:") == n
+        return time.perf_counter() - at
+
+    assert seconds(10_000) < 30 * max(seconds(1_000), 0.01)

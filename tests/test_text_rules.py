@@ -8,6 +8,7 @@ from scriptorium.functions.text import inline_clean
 from scriptorium.operators import clean as D
 from scriptorium.operators import frontmatter as P
 from scriptorium.operators import markers as M
+from scriptorium.operators import sections as S
 from scriptorium.sources.folder_view import extension, section_file, yaml_text
 
 
@@ -35,6 +36,27 @@ def test_clean(spark):
     assert [got[i] for i in range(len(CLEAN))] == [b for _, b in CLEAN]
 
 
+@pytest.mark.parametrize("text,want", [
+    (r"\begin{lstlisting}$a$\end{lstlisting} $b$ c", "$b$ c"), (r"\begin{equation}\mbox{$a$}\end{equation}$b$ and \(c\)", r"$b$ and \(c\)"), (r"$a$ \label{$b$}", "$a$"),
+    (r"\begin{lemma}$a$\end{lemma}\if0 $b$ \fi $c$", "> **Lemma.**\n> $a$\n$c$"),
+])
+def test_math_goes_with_its_block_and_stays_in_its_place(spark, text, want):
+    rows = spark.createDataFrame([(text,)], "t string")
+    assert D.denoise(rows, "t").collect()[0]["text"] == want
+
+
+def test_documents_marked_whole_and_by_section(spark):
+    tex = r"\section{A}x\footnote{ n \cite{a, b} } \ref{f}\footnote{m} $z$ \section{B}\subsection{C}\citep[p. \ref{g}]{c}\footnote{o {\bf p}}~q"
+    docs = spark.createDataFrame([("p", tex), ("q", r"\section{D}no notes"), ("r", None), ("s", "no section")], "paper_id string, tex string")
+    whole, by_section = M.marked_documents(docs), M.marked_sections(S.sections(docs))
+    rows = whole.orderBy("paper_id", "order").collect()
+    assert rows == by_section.select(whole.columns).orderBy("paper_id", "order").collect()
+    assert [[(n["number"], n["text"]) for n in r["notes"]] for r in rows] == [[(1, "n [@a; @b]"), (2, "m")], [], [(3, r"o {\bf p}")], []]
+    assert [r["marked"] for r in rows] == ["x[^fn:1] [#f][^fn:2] $z$ ", "", "[@c][^fn:3]~q", "no notes"]
+    clean = [r["text"] for r in D.denoise(whole, "marked").orderBy("paper_id", "order").collect()]
+    assert clean == [r["text"] for r in D.cleaned_sections(docs).orderBy("paper_id", "order").collect()] == ["x[^fn:1] [#f][^fn:2] $z$", "", "[@c][^fn:3] q", "no notes"]
+
+
 def test_long_documents_do_not_exhaust_the_matcher(spark):
     text = "word \\textbf{b} $x_{1}$ \\\\ {a} " * 20000 + "$" + "y" * 200000
     rows = spark.createDataFrame([(text,)], "t string")
